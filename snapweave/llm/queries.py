@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, idstore, packing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_best_fit_pack": packing.op6_best_fit_pack,
+    "op10_id_files": idstore.op10_id_files,
 }
 
 ORACLES = {
