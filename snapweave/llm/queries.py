@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, packing
+from . import decontaminate, idstore, licenses, packing, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_exact_top_k": topk.op2_exact_top_k,
+    "op3_license_scan": licenses.op3_license_scan,
     "op6_best_fit_pack": packing.op6_best_fit_pack,
     "op10_id_files": idstore.op10_id_files,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_exact_top_k": topk.ORACLE,
 }
