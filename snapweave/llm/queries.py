@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, licenses, packing, topk
+from . import decontaminate, idstore, langid, licenses, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_license_scan": licenses.op3_license_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit_pack": packing.op6_best_fit_pack,
+    "op8_language_id": langid.op8_language_id,
+    "op9_find_pii": pii.op9_find_pii,
     "op10_id_files": idstore.op10_id_files,
 }
 
