@@ -88,6 +88,14 @@ def row_key(*cols) -> F.col:
     return F.xxhash64(*cols)
 
 
+def hashed_share(rows: DataFrame, sample: int, *cols) -> DataFrame:
+    """Between `sample` and twice as many of the rows, about (all, if fewer): those whose hash of `cols` falls into a share.
+
+    Unlike an ordered limit, tasks send no more than what is kept.
+    """
+    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(max(1, rows.count() // sample))) == 0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (Stafford's variant 13): every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

@@ -12,7 +12,7 @@ A store is a folder: `dictionary` (raw zstandard dictionary, may be empty) and `
 Scale: documents are range-partitioned and sorted by (doc_id, text's hash), so ids repeated in a third
 of the rows still spread; a task streams its documents into files of about `file_bytes`. Files are
 named by task attempt; the manifest of the attempts that succeeded says which files count, so lost or
-repeated tasks leave at worst unused files. The dictionary's sample is bounded by `sample` documents.
+repeated tasks leave at worst unused files. The dictionary's sample is about `sample` documents.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, bounded_batches, shared_dir, table, tokenizer_file
+from .common import Shelf, bounded_batches, hashed_share, shared_dir, table, tokenizer_file
 from .tokens import encoder
 
 MAGIC = b"IDZ1"
@@ -127,19 +127,19 @@ def read_dictionary(folder: str) -> bytes:
         return f.read()
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, sample: int = 1000, sample_bytes: int = 32 << 10, dictionary_bytes: int = 64 << 10, file_bytes: int = 64 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, sample: int = 500, sample_bytes: int = 32 << 10, dictionary_bytes: int = 64 << 10, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode `docs` (`doc_id`, `text`), each followed by `end_id`, into a new store; returns its manifest.
 
     Documents ascend by doc_id over the files in order of (part, seq), nulls first; rows with one id are
     in order of their text's hash. A null or empty text holds the end id alone. Without documents there are
-    no files. The dictionary is trained on at most `sample` documents of up to `sample_bytes` bytes, the
-    first by a hash of the row; nothing else depends on the sample.
+    no files. The dictionary is trained on about `sample` documents of up to `sample_bytes` bytes, chosen by a
+    hash of the row; nothing else depends on the sample.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     small = docs.where(F.octet_length("text") <= sample_bytes)
-    picked = small.orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
+    picked = hashed_share(small, sample, "doc_id", "text").collect()
     enc = encoder(tokenizer_file(tokenizer))
     width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     dictionary = train([np.frombuffer(enc.encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in picked], dictionary_bytes)

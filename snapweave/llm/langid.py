@@ -12,7 +12,6 @@ alike wherever it stands, so a worker sums remembered word scores.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import bounded_batches, mix64, table
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes but letters become blanks.
@@ -50,18 +49,29 @@ def letter_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_LETTERS).split()
 
 
-def grams(word: bytes, dims: int, longest: int = 4) -> list[int]:
-    """Hashed character n-grams of 1 to `longest`, with the word's ends marked."""
-    w = f"<{word.decode()}>"
-    return [zlib.crc32(w[i : i + n].encode()) % dims for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+def grams(words: list[bytes], dims: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(word's number, hash below `dims`) of every n-gram of 1 to `longest` bytes; words' ends are marked.
+
+    N-grams are of UTF-8 bytes, so that an accented letter counts as a pair.
+    """
+    text = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    owner, hashed, own = [], [], np.zeros(len(text) + 1, np.uint64)
+    for n in range(1, longest + 1):
+        own = own[: max(0, len(text) - n + 1)] * np.uint64(0x100000001B3) + text[n - 1 :] + np.uint64(1)
+        inside = word[: len(own)] == word[n - 1 :]
+        owner.append(word[: len(own)][inside])
+        hashed.append((mix64(own[inside]) % np.uint64(dims)).astype(np.int64))
+    return np.concatenate(owner), np.concatenate(hashed)
 
 
 def features(text: str, dims: int) -> np.ndarray:
     """Shares of the n-grams of one text, by hash."""
-    total = np.zeros(dims, np.float32)
-    for w in letter_words(text):
-        np.add.at(total, grams(w, dims), 1)
-    return total / max(total.sum(), 1)
+    words = letter_words(text)
+    if not words:
+        return np.zeros(dims, np.float32)
+    total = np.bincount(grams(words, dims)[1], minlength=dims)
+    return (total / total.sum()).astype(np.float32)
 
 
 class Model:
@@ -73,31 +83,45 @@ class Model:
         self.rows = np.zeros((0, weights.shape[1] + 1), np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
+        """Scores of the words not met yet: sums over their n-grams, and how many those are."""
         if len(self.known) > self.limit:
             self.known, self.rows = {}, self.rows[:0]
         new = sorted(set(words).difference(self.known))
-        made = np.empty((len(new), self.rows.shape[1]), np.float32)
-        for k, w in enumerate(new):
-            g = grams(w, len(self.weights))
-            made[k, :-1], made[k, -1] = self.weights[g].sum(0), len(g)
-        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows, made])
+        for low in range(0, len(new), 5000):
+            part = new[low : low + 5000]
+            word, gram = grams(part, len(self.weights))
+            order = np.argsort(word, kind="stable")
+            starts = np.searchsorted(word[order], np.arange(len(part)))
+            sums = np.add.reduceat(self.weights[gram[order]], starts, axis=0)
+            made = np.hstack([sums, np.bincount(word, minlength=len(part))[:, None]]).astype(np.float32)
+            self.known.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
+            self.rows = np.concatenate([self.rows, made])
 
     def margins(self, words: list[bytes]) -> np.ndarray:
         """The bit classifiers' outputs for one document's words."""
-        try:
-            at = list(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            at = list(map(self.known.__getitem__, words))
-        total = self.rows[at].sum(0, dtype=np.float64)
+        total = self.rows[list(map(self.known.__getitem__, words))].sum(0, dtype=np.float64)
         return total[:-1] / max(total[-1], 1) + self.bias
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, ambiguous); `und` without a letter or without learned languages."""
-        if not text or not self.languages or not LETTER.search(text):
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, ambiguous) of each text; words are met in groups of about 200,000."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(letter_words(t) if t and self.languages and LETTER.search(t) else None)
+            size += len(held[-1] or ())
+            if size > 200_000:
+                out += self._decode(held)
+                held, size = [], 0
+        return out + self._decode(held)
+
+    def _decode(self, texts: list[list[bytes] | None]) -> list[tuple[str, float, bool]]:
+        self._learn(list(set().union(*(t for t in texts if t))))
+        return [self.predict(t) for t in texts]
+
+    def predict(self, words: list[bytes] | None) -> tuple[str, float, bool]:
+        """The nearest codeword by loss; `und` where there are no words to judge (None)."""
+        if words is None:
             return "und", 0.0, False
-        loss = np.logaddexp(0, -self.code * self.margins(letter_words(text))).sum(1)
+        loss = np.logaddexp(0, -self.code * self.margins(words)).sum(1)
         odds = np.exp(loss.min() - loss)
         share = odds / odds.sum()
         top = int(loss.argmin())
@@ -162,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches):
         own = shared.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            found = own.predict_all(batch.column(batch.schema.get_field_index("text")).to_pylist())
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(batch.columns + cols, names=batch.schema.names + [f.name for f in added])
 

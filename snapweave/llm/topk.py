@@ -8,7 +8,7 @@ the order of that bound until the next bound is below the k-th score; the result
 
 Scale: candidates are read once per block of queries and never shuffled; the queries (a fiftieth of the rows)
 come in blocks of at most `block_bytes`. Pivots, and a first k-th score for every query, come from a
-sample of at most `sample` candidates, so most tasks emit only what can still be in the result. A
+sample of about `sample` candidates, so most tasks emit only what can still be in the result. A
 task holds `rows` candidates at a time and emits at most k rows per query, which a window limited per
 partition merges.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, hashed_share, table
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -103,7 +103,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 24, sample: int = 4096, block_bytes: int = 16 << 20, rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 24, sample: int = 2048, block_bytes: int = 16 << 20, rows: int = 8192) -> DataFrame:
     """The k rows of highest inner product for each row of `vectors` (`vec_id`, `embedding`) where `is_query`.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer candidates
@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 24, sample: in
     queries = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sized = queries.agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 8 + 64).alias("bytes")).first()
     blocks = 1 + int((sized.bytes or 0) // block_bytes)
-    seen = good.orderBy(F.xxhash64("vec_id")).limit(sample).collect()
+    seen = hashed_share(good, sample, "vec_id").collect()
     by_dim: dict[int, list] = {}
     for r in seen:
         by_dim.setdefault(len(r.embedding), []).append(r)

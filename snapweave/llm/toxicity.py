@@ -1,19 +1,20 @@
 """Toxicity: a learned lexicon, met exactly or misspelled, in its context.
 
-The lexicon is learned from labelled rows: words far commoner in toxic texts. Misspelled terms are caught by
+The lexicon is learned from labelled rows: words, and stems that many words begin with, far commoner in toxic texts. Misspelled terms are caught by
 Levenshtein automata intersected with the lexicon's trie: a state is a set of (trie node, edits, character
 awaited by a swap), made deterministic as words are read, so a word costs one look-up per character and
 most words die after a few. Look-alike digits count as their letters. Around each hit a window of
 characters is searched for signs of quotation (quote marks, verbs of saying) and of address; direct,
 quoted and misspelled hits are separate features of a logistic score.
 
-Scale: learning takes at most `sample` labelled rows (a documented bound), whose ids are all that is
+Scale: learning takes about `sample` labelled rows (a documented bound), whose ids are all that is
 broadcast; word counts are aggregated where they arise. Scoring is one narrow map.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, bounded_batches, table
+from .common import Shelf, alnum_words, bounded_batches, hashed_share, table
 from .langid import held_out
 
 #: Digits read as letters in words that hide (fixed values).
@@ -123,7 +124,8 @@ class Detector:
 
     def __init__(self, terms: dict[str, float], clean: set[str], coefficients: np.ndarray | None = None, prior: float = 0.0, context: int = 60, limit: int = 400_000):
         self.terms, self.clean, self.coefficients, self.prior, self.context, self.limit = terms, clean, coefficients, prior, context, limit
-        self.trie, self.seen, self.hits = FuzzyTrie(terms), set(), {}
+        self.stems = {t[:-1] for t in terms if t.endswith("*")}
+        self.trie, self.seen, self.hits = FuzzyTrie([t for t in terms if not t.endswith("*")]), set(), {}
 
     def meet(self, words: set[bytes]) -> None:
         """Remember which of these words match a term."""
@@ -131,8 +133,12 @@ class Detector:
             self.seen, self.hits = set(), {}
         for w in words.difference(self.seen):
             word = w.decode()
-            if 3 <= len(word) <= 40 and (m := self.trie.match(word)) and (not m[1] and word == m[0] or word not in self.clean):
+            if not 3 <= len(word) <= 40:
+                continue
+            if (m := self.trie.match(word)) and (word == m[0] or word not in self.clean):
                 self.hits[w] = (m[0], word != m[0])
+            elif stem := next((word[:k] for k in range(3, 9) if word[:k] in self.stems), None):
+                self.hits[w] = (stem + "*", False)
         self.seen |= words
 
     def features(self, text: bytes | None) -> tuple[np.ndarray, list]:
@@ -203,55 +209,75 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 0.02) ->
     return c
 
 
+def stems(word: str) -> list[str]:
+    """A word and its beginnings of 3 to 8 letters, marked by a star."""
+    return [word, *(word[:k] + "*" for k in range(3, min(8, len(word) - 1) + 1))]
+
+
 def pick_terms(counts: list, n_toxic: int, n_clean: int, most: int = 500) -> dict[str, float]:
-    """Words far commoner in toxic texts: at least twice and in 2 % of them, with a lower bound (two standard errors) of the log odds above 0.7."""
+    """Words and stems far commoner in toxic texts, with their weights.
+
+    A term stands in at least four toxic texts and 3 % of them, and the log odds are above 1.5 by two
+    standard errors. Of nested terms the one with most toxic texts (less five for each clean one) stays; ties go
+    to the whole word, then to the longer stem.
+    """
     found = []
-    for word, a, b in counts:
-        if a < max(2, 0.02 * n_toxic) or not word.isalpha() or len(word) < 3:
+    for term, a, b in counts:
+        if a < max(4, 0.03 * n_toxic) or not term.rstrip("*").isalpha() or len(term) < 3:
             continue
         odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
         error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds - 1.5 * error > 0.7:
-            found.append((odds - error, word))
-    return {w: float(min(3.0, max(0.5, o / 2))) for o, w in sorted(found, reverse=True)[:most]}
+        if odds - 2 * error > 1.5:
+            found.append((a - 5 * b, not term.endswith("*"), len(term), term, odds - error))
+    kept: dict[str, float] = {}
+    for _, _, _, term, odds in sorted(found, reverse=True):
+        own = term.rstrip("*")
+        nested = any((k.endswith("*") and own.startswith(k[:-1])) or (term.endswith("*") and k.rstrip("*").startswith(own)) for k in kept)
+        if not nested and len(kept) < most:
+            kept[term] = float(min(3.0, max(0.5, odds / 2)))
+    return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 20_000) -> Detector:
-    """A detector from at most `sample` labelled rows of `docs` (`doc_id`, `text`) that may be learned from.
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 8_000) -> Detector:
+    """A detector from about `sample` labelled rows (less than twice as many) of `docs` (`doc_id`, `text`) that may be learned from.
 
-    The rows are the first by a hash of their id; labels of null ids, null labels and other labels than 0 and 1
+    The rows are chosen by a hash of their id; labels of null ids, null labels and other labels than 0 and 1
     teach nothing, and an id labelled both ways counts as toxic. Without both classes every score is the share
     of toxic rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    picked = [(r.doc_id, r._toxic) for r in known.where(learnable).orderBy(F.xxhash64("doc_id")).limit(sample).collect()]
+    picked = [(r.doc_id, r._toxic) for r in hashed_share(known.where(learnable), sample, "doc_id").collect()]
     if len({t for _, t in picked}) < 2:
         return Detector({}, set(), None, float(np.mean([t for _, t in picked])) if picked else 0.0)
-    own = spark.createDataFrame(picked, "doc_id long, _toxic int")  # at most `sample` rows
+    own = spark.createDataFrame(picked, "doc_id long, _toxic int")  # a bounded sample
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id").select("text", "_toxic")
 
     def words(batches):
         for batch in batches:
             text, toxic = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
-            out = [(w.decode(), t) for x, t in zip(text, toxic, strict=True) for w in set(alnum_words(x))]
+            tally = (Counter(), Counter())
+            for x, t in zip(text, toxic, strict=True):
+                tally[t].update({s for w in set(alnum_words(x)) if len(w) <= 40 for s in stems(w.decode())})
+            out = sorted(tally[0].keys() | tally[1].keys())
             for low in range(0, len(out), 50_000):
                 part = out[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([t for _, t in part], pa.int32())], names=["word", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([tally[t][w] for w in part], pa.int64()) for t in (1, 0))], names=["word", "a", "b"])
 
-    counts = rows.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = rows.mapInArrow(words, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n_toxic = sum(t for _, t in picked)
     n_clean = len(picked) - n_toxic
-    likely = counts.where((F.col("a") >= max(2, 0.02 * n_toxic)) & (F.col("a") * n_clean > 2 * F.col("b") * n_toxic)).collect()
+    counts = Shelf(spark).put(counts, "counts")
+    likely = counts.where((F.col("a") >= max(4, 0.03 * n_toxic)) & (F.col("a") * n_clean > 4 * F.col("b") * n_toxic)).collect()
     terms = pick_terms([(r.word, r.a, r.b) for r in likely], n_toxic, n_clean)
-    trie = FuzzyTrie(terms)
+    trie = FuzzyTrie([t for t in terms if not t.endswith("*")])
 
     def near(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if len(w) <= 40 and (m := trie.match(w)) and m[1]], pa.string())], names=["word"])
 
-    clean = {r.word for r in counts.where("b > 0").select("word").mapInArrow(near, "word string").collect()} if terms else set()
+    clean = {r.word for r in counts.where((F.col("b") > 0) & ~F.col("word").endswith("*")).select("word").mapInArrow(near, "word string").collect()} if terms else set()
     shared = spark.sparkContext.broadcast(Detector(terms, clean))
 
     def featurise(batches):
