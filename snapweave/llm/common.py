@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -71,6 +72,11 @@ class Shelf:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let the driver drop shuffles that nothing refers to any more, so phases don't pile up on the disks."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Free tables that no later step reads."""
         jvm = self.spark._jvm

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, langid, licenses, packing, pii, topk, toxicity
+from . import decontaminate, idstore, langid, licenses, ngram_join, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit_pack": packing.op6_best_fit_pack,
     "op8_language_id": langid.op8_language_id,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_exact_top_k": topk.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
 }
