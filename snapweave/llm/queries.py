@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, langid, licenses, ngram_join, packing, pii, topk, toxicity
+from . import decontaminate, idstore, langid, licenses, linededup, ngram_join, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit_pack": packing.op6_best_fit_pack,
+    "op7_line_dedup": linededup.op7_line_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_find_pii": pii.op9_find_pii,
     "op10_id_files": idstore.op10_id_files,
