@@ -2,17 +2,16 @@
 
 A document's set is its distinct word n-grams as 64-bit hashes. Its sketch in a size band is a row of k words:
 every n-gram is XORed into the word its hash selects. A differing n-gram changes one word at most, so the number
-of differing words (and likewise the number of differing bits of a 256-bit sketch into which every n-gram flips
+of differing words (and likewise the number of differing bits of a 512-bit sketch into which every n-gram flips
 one bit) is a lower bound of the symmetric difference. Two sets of sizes a <= b link only if they differ in at
 most D = (1-t)/(1+t) (a+b) n-grams; hence at least k-D of their words agree, and if both keep the D+1 words that
 are first in one global order, they share one of those (pigeonhole). The order puts words whose every n-gram is
 frequent last, and empty words at the very end, so passages and emptiness that many documents share hardly select anything.
 
 Documents with equal sets are one class. Within a bucket (band, word's place, word) every class is first verified
-against one centre only; then classes of a bucket that still are in different components, and only those, are
-compared with each other: first by sizes, the 256-bit sketch and the distances to the bucket's centre (triangle
-inequality both ways), then by their n-grams. So a bucket of copies costs as many comparisons as it has classes,
-and no link between components is lost.
+against one centre only, in a few turns with a new centre each; then classes of a bucket that still are in different
+components, and only those, are compared with each other. Sizes and 512-bit sketches go before n-grams. So a bucket of
+copies costs about as many comparisons as it has classes, and no link between components is lost.
 
 Scale: two scans of the texts; buckets hold two numbers a row; texts are shuffled only for classes that have a
 candidate. Nothing that grows with the data is collected: the driver gets counts, and at most `hot` frequent n-grams.
@@ -29,9 +28,10 @@ from .common import Shelf, WordHashes, blank_words, bounded_batches, mix64, row_
 from .components import components
 
 U = np.uint64
-BITS = 256
-SCAN = "kind int, doc_id long, key long, cls long, size int, s0 long, s1 long, s2 long, s3 long, token long, n long"
-SCAN_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+BITS = 512
+SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
+SCAN = ", ".join(["kind int, doc_id long, key long, cls long, size int", *(f"{c} long" for c in (*SKETCH, "token", "n"))])
+SCAN_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (len(SKETCH) + 2)]
 SCAN_NAMES = [x.split()[0] for x in SCAN.split(", ")]
 
 
@@ -82,7 +82,7 @@ class Bands:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 bits of parity: each n-gram flips one."""
+    """Bits of parity: each n-gram flips one."""
     odd = np.bincount((mix64(tokens ^ U(0x5851F42D4C957F2D)) % U(BITS)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -125,13 +125,13 @@ def _scan(docs: DataFrame, n: int, frequent: int) -> DataFrame:
                 if held:
                     token, count = np.unique(np.concatenate(held), return_counts=True)
                     often = count >= frequent
-                    rows.extend((1, None, None, None, None, None, None, None, None, int(t), int(c)) for t, c in zip(token[often].view(np.int64), count[often], strict=True))
+                    rows.extend((1, *[None] * (4 + len(SKETCH)), int(t), int(c)) for t, c in zip(token[often].view(np.int64), count[often], strict=True))
                     held.clear()
 
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = shingle(text)
                 if not len(tokens):
-                    rows.append((0, doc, key, None, 0, None, None, None, None, None, None))
+                    rows.append((0, doc, key, None, 0, *[None] * (len(SKETCH) + 2)))
                     continue
                 cls = class_of(tokens)
                 rows.append((0, doc, key, cls, len(tokens), *map(int, sketch(tokens)), None, None))
@@ -149,13 +149,13 @@ def _scan(docs: DataFrame, n: int, frequent: int) -> DataFrame:
 
 
 def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """(bucket, cls, size): each class once per task."""
+    """(bucket, cls): each class once per task."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, level))
 
     def emit(batches):
         shingle, seen, (hot, level) = Shingler(n), set(), shared.value
         for batch in batches:
-            keys, classes, sizes = [], [], []
+            keys, classes = [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle(text)
                 if not len(tokens) or (cls := class_of(tokens)) in seen:
@@ -167,11 +167,10 @@ def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level:
                     own = buckets(tokens, band, bands.words(band), keep, hot, level)
                     keys.append(own)
                     classes.append(np.full(len(own), cls, np.int64))
-                    sizes.append(np.full(len(own), len(tokens), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["bucket", "cls", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["bucket", "cls"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(emit, "bucket long, cls long, size int")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(emit, "bucket long, cls long")
 
 
 class Join:
@@ -183,17 +182,11 @@ class Join:
         self.shelf = Shelf(self.spark)
         self.docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
 
-    def close_sizes(self, a: Column, b: Column) -> Column:
-        return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
-
-    def most(self, a: Column, b: Column) -> Column:
-        return ((a + b) * (self.den - self.num) / (self.den + self.num) + 1e-9).cast("long")
-
     def scan(self) -> None:
         seen = self.shelf.put(_scan(self.docs, self.n, frequent=8), "scan")
         self.rows = seen.where("kind = 0").select("doc_id", "key", "cls", "size")
         self.classes = self.shelf.put(
-            seen.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "s2", "s3")]), "classes"
+            seen.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", *SKETCH)]), "classes"
         )
         often = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"))
         top = sorted((r.token, r.n) for r in often.orderBy(F.desc("n"), "token").limit(self.hot).collect())  # at most `hot` rows
@@ -202,18 +195,17 @@ class Join:
         self.hot_tokens, self.hot_level = tokens[order], np.log2(np.array([c for _, c in top], float)).astype(np.int64)[order] + 1
 
     def candidates(self) -> None:
-        """`members`: rows (bucket, cls, size, centre, csize) of the buckets with more than one class."""
+        """`members`: rows (bucket, cls) of the buckets with more than one class."""
         rows = self.shelf.put(_bucket_rows(self.docs, self.n, Bands(self.num, self.den), self.hot_tokens, self.hot_level), "buckets")
-        low = F.min(F.struct("cls", "size"))
-        centres = rows.groupBy("bucket").agg(low.alias("low"), F.max("cls").alias("high")).where("low.cls <> high")
-        centres = self.shelf.put(centres.select("bucket", F.col("low.cls").alias("centre"), F.col("low.size").alias("csize")), "centres")
+        shared = rows.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
+        shared = self.shelf.put(shared, "shared")
         self.shelf.settle()
-        self.members = self.shelf.put(rows.join(centres, "bucket").select("bucket", "cls", "size", "centre", "csize").distinct(), "members")
-        self.shelf.drop("buckets", "centres")
+        self.members = self.shelf.put(rows.join(shared, "bucket").distinct(), "members")
+        self.shelf.drop("buckets", "shared")
         self.shelf.settle()
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """`pairs` (a, b) with sizes and what they share: (a, b, sa, sb, both, linked)."""
+        """`pairs` (a, b) by their n-grams: (a, b, linked)."""
         pairs = self.shelf.put(pairs, f"{name}-pairs")
         needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         keys = needed.join(self.classes.select("cls", "key"), "cls")
@@ -234,67 +226,100 @@ class Join:
                         kept[a] = shingle(ta)
                     x, y = kept[a], shingle(tb)
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append((a, b, len(x), len(y), both, den * both >= num * (len(x) + len(y) - both)))
+                    out.append((a, b, den * both >= num * (len(x) + len(y) - both)))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "sa", "sb", "both", "linked"])
+                    kinds = (pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "linked"])
 
-        done = self.shelf.put(full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, sa int, sb int, both int, linked boolean"), f"{name}-verified")
+        done = self.shelf.put(full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean"), f"{name}-verified")
         self.shelf.drop(f"{name}-texts", f"{name}-pairs")
         self.shelf.settle()
         return done
 
-    def residual(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of classes that share a bucket but no component, as far as no bound excludes them."""
-        away = stars.select(F.col("a").alias("centre"), F.col("b").alias("cls"), (F.col("sa") + F.col("sb") - 2 * F.col("both")).alias("away"))
-        known = self.members.join(labels.withColumnsRenamed({"v": "cls"}), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
-        open_ = known.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc <> hc").select("bucket")
-        rows = known.join(open_, "bucket").join(away, ["centre", "cls"], "left")
-        rows = rows.withColumn("away", F.when(F.col("cls") == F.col("centre"), 0).otherwise(F.col("away")))
-        rows = rows.join(self.classes.select("cls", "s0", "s1", "s2", "s3"), "cls")
-        rows = self.shelf.put(rows, "open")
-        # the bucket's largest component needs no comparison within itself: others against all
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (x, y) as (a, b), a < b, that neither sizes nor sketches exclude."""
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for side in "ab":
+            own = self.classes.select(F.col("cls").alias(side), F.col("size").cast("long").alias(f"{side}_size"), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
+            pairs = pairs.join(own, side)
+        return pairs.where(self.may_link("a_", "b_")).select("a", "b")
+
+    def may_link(self, x: str, y: str) -> Column:
+        """Whether rows with these prefixes of size and sketch columns can link."""
+        a, b = F.col(f"{x}size"), F.col(f"{y}size")
+        differ = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCH), F.lit(0))
+        return (F.least(a, b) * self.den >= F.greatest(a, b) * self.num) & (differ * (self.den + self.num) <= (a + b) * (self.den - self.num))
+
+    def label(self, rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """`rows` of buckets that still hold several components, with the component c of each."""
+        known = rows.select("bucket", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
+        known = self.shelf.put(known, f"{name}-labelled")
+        several = known.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc <> hc").select("bucket")
+        kept = self.shelf.put(known.join(several, "bucket"), f"{name}-open")
+        self.shelf.drop(f"{name}-labelled")
+        return kept
+
+    def star(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Every class of a bucket with the bucket's centre of this turn, where their components differ."""
+        centre = rows.groupBy("bucket").agg(F.min_by(F.struct("cls", "c"), F.xxhash64("cls", F.lit(turn))).alias("m"))
+        return rows.join(centre, "bucket").where(F.col("c") != F.col("m.c")).select(F.col("cls").alias("x"), F.col("m.cls").alias("y"))
+
+    def residual(self, rows: DataFrame) -> DataFrame:
+        """Pairs that share a bucket but no component: those outside a bucket's largest component against all."""
         sizes = rows.groupBy("bucket", "c").count()
         large = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("large"))
-        x = rows.join(large, "bucket").where("c <> large").drop("large")
-        x = x.select("bucket", *[F.col(k).alias(f"x_{k}") for k in ("cls", "size", "c", "away", "s0", "s1", "s2", "s3")])
-        a, b = F.col("x_size").cast("long"), F.col("size").cast("long")
-        most = self.most(a, b)
-        differ = sum((F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"s{i}"))) for i in range(4)), F.lit(0))
-        apart = F.coalesce(F.abs(F.col("x_away") - F.col("away")), F.lit(0))
-        joined = x.join(rows, (x["bucket"] == rows["bucket"]) & (F.col("x_c") != F.col("c")) & (F.col("cls") != F.col("centre")) & (F.col("x_cls") != F.col("centre")) & self.close_sizes(a, b) & (differ <= most) & (apart <= most))
-        pairs = joined.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
-        return pairs.distinct()
-
-    def run(self) -> DataFrame:
+        full = rows.join(self.classes.select("cls", F.col("size").cast("long").alias("size"), *SKETCH), "cls")
+        x = full.join(large, "bucket").where("c <> large").drop("large")
+        x = x.select(*[F.col(k).alias(f"x_{k}") for k in x.columns])
+        joined = x.join(full, (F.col("x_bucket") == F.col("bucket")) & (F.col("x_c") != F.col("c")) & self.may_link("x_", ""))
+        return joined.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct()
+
+    def run(self, turns: int = 3) -> DataFrame:
         self.scan()
         self.candidates()
-        m = self.members
-        first = m.where((F.col("cls") != F.col("centre")) & self.close_sizes(F.col("size").cast("long"), F.col("csize").cast("long")))
-        stars = self.verify(first.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-        links = stars.where("linked").select("a", "b")
-        labels = components(links, self.shelf, "first")
-        rest = self.verify(self.residual(stars, labels), "rest").where("linked").select("a", "b")
+        rows = self.members.withColumn("c", F.col("cls"))
+        links = labels = None
+        for turn in range(turns):
+            new = self.verify(self.plausible(self.star(rows, turn)), f"star{turn}").where("linked").select("a", "b")
+            links = new if links is None else links.unionByName(new)
+            if turn and not new.limit(1).count():
+                break
+            labels = components(links, self.shelf, f"components{turn}")
+            rows = self.label(rows, labels, f"star{turn}")
+        rest = self.verify(self.residual(rows), "rest").where("linked").select("a", "b")
         if rest.limit(1).count():
-            labels = components(links.unionByName(rest), self.shelf, "all")
-        named = self.classes.select("cls", "least").join(labels.withColumnsRenamed({"v": "cls"}), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
+            labels = components(links.unionByName(rest), self.shelf, "components")
+        named = self.classes.select("cls", "least").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
         least = named.groupBy("c").agg(F.min("least").alias("component_id"))
-        named = named.join(least, "c").select("cls", "component_id")
-        return self.rows.join(named, "cls", "left").select("doc_id", "key", F.col("cls").alias("class_id"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        named = named.join(least, "c").select("cls", "c", "component_id")
+        return self.rows.join(named, "cls", "left").select("doc_id", "key", F.col("cls").alias("class_id"), F.col("c").alias("component"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot: int = 20_000) -> DataFrame:
-    """One row per row of `docs` (`doc_id`, `text`): doc_id, key, class_id, n_shingles, component_id.
+    """One row per row of `docs` (`doc_id`, `text`): doc_id, key, class_id, component, n_shingles, component_id.
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased; a document's set is its distinct n-grams of
     words, with fewer words the whole sequence as one. Two documents link when the Jaccard similarity of their sets is at least
-    num/den. Rows with equal sets share class_id; component_id is the smallest doc_id reachable by links, itself
-    included (null ids are passed over, and a component of none but null ids has null). Without words the set is empty, class_id null,
+    num/den. Rows with equal sets share class_id, those linked by any path component; component_id is the smallest doc_id reachable by links, itself
+    included (null ids are passed over, and a component of none but null ids has null). Without words the set is empty, class_id and component null,
     and the document linked with nothing. key is the hash of (doc_id, text) by which rows are told apart. Sets are compared by 64-bit hashes.
     """
     return Join(docs, n, num, den, hot).run()
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """Of each component of `docs` the row of the smallest (doc_id, key) only, with all its columns.
+
+    Rows without words stay, all of them; of rows that agree in doc_id and text one stays. A null id comes last.
+    """
+    found = ngram_join(docs, **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.key").alias("_key"))
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    wordless = keyed.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(wordless).drop("_key")
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Documents whose word 3-grams agree to 90 %, as components."""
     return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90).select("doc_id", "n_shingles", "component_id")
