@@ -1,5 +1,68 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of `documents`; the last returns
+the packed pieces. Stages are written as Parquet in the shared folder and read again, so a lost executor
+costs one stage's tasks and no stage sees more than its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snapweave.llm import decontaminate, linededup, ngram_join, packing, toxicity
+from snapweave.llm.common import Shelf, table
+
+#: Documents whose toxicity reaches this are rejected.
+TOXIC = 0.3
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; learned from labels of rows that are not held out."""
+    detector = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score_toxicity(docs, detector).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand earlier; documents of which nothing is left go."""
+    found = linededup.dedup_lines(docs)
+    left = found.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = left.select(*docs.columns, "n_deleted")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by word 5-grams at 80 % Jaccard similarity."""
+    return ngram_join.keep_one(docs, n=5, num=80).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten consecutive words of a benchmark item (nor a shorter item)."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pack", pack),
+]
+#: Learned scores, winnowing and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    shelf, docs = Shelf(spark), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shelf.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
