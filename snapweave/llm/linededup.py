@@ -128,7 +128,7 @@ def regions(docs: DataFrame, shelf: Shelf, k: int, w: int) -> DataFrame:
     apart = (F.col("key") != F.col("src")) | (F.col("pos") >= F.col("src_pos") + 2 * (k + w))
     copied = prints.join(first, "h").where(((F.col("key") != F.col("src")) | (F.col("pos") != F.col("src_pos"))) & apart)
     own = Window.partitionBy("key").orderBy("pos")
-    islands = copied.select("key", "pos", "src", "src_pos").distinct().withColumn("new", (F.col("pos") - F.lag("pos").over(own) > k).cast("int"))
+    islands = copied.select("key", "pos", "src", "src_pos").distinct().withColumn("new", (F.col("pos") - F.lag("pos").over(own) >= k).cast("int"))
     islands = islands.withColumn("n", F.sum(F.coalesce("new", F.lit(0))).over(own))
     chain = F.array_sort(F.collect_list(F.struct("pos", "src", "src_pos")))  # bounded by the document's words
     islands = islands.groupBy("key", "n").agg(chain.alias("chain"))
@@ -157,12 +157,12 @@ def deleted_words(h: np.ndarray, parts: list, k: int, w: int) -> list[tuple[int,
         n = n if same.all() else int(np.argmin(same))
         own[0], own[1] = (min(own[0], at - n), own[1]) if p["left"] else (own[0], max(own[1], at + k + n))
     out: list[tuple[int, int]] = []
-    for a, b in sorted(map(tuple, found.values())):
+    for a, b in sorted((a, b) for a, b in found.values() if b - a >= k + w - 1):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
-    return [(a, b) for a, b in out if b - a >= k + w - 1]
+    return out
 
 
 def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:

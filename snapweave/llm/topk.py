@@ -34,7 +34,7 @@ def dot(a: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer inner products; beyond 2^63 they are held at the nearest 64-bit integer."""
     if a.size and max(np.abs(a).max(), np.abs(q).max(initial=0)) ** 2 * a.shape[1] >= 1 << 53:
         whole = [sum(int(x) * int(y) for x, y in zip(r, q, strict=True)) for r in a]
-        return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in whole], np.int64)
+        return np.array([min(max(s, 1 - (1 << 63)), (1 << 63) - 1) for s in whole], np.int64)
     return (a @ q).astype(np.int64)
 
 
@@ -63,11 +63,11 @@ class Search:
         """Search one block of candidates."""
         norm = (vectors**2).sum(1)
         pivots = self.pivots if len(self.pivots) else vectors[:1]
-        top = max(norm.max(), (pivots**2).sum(1).max())
-        lift, lift_p = np.sqrt(top - norm), np.sqrt(top - (pivots**2).sum(1))
+        top = norm.max()
         far = lambda square: np.sqrt(np.maximum(square, 0))
-        to_v = far(norm[None] - 2 * pivots @ vectors.T + (pivots**2).sum(1)[:, None] + (lift[None] - lift_p[:, None]) ** 2)
-        to_q = far(self.norm[None] + top - 2 * pivots @ self.q.T)
+        own = (pivots**2).sum(1)[:, None]
+        to_v = far(top - 2 * pivots @ vectors.T + own)  # pivots lie where queries do, at 0 in the further dimension
+        to_q = far(self.norm[None] - 2 * pivots @ self.q.T + own)
         for low in range(0, len(self.ids), 64):
             part = slice(low, low + 64)
             bound = np.zeros((len(self.ids[part]), len(ids)))
