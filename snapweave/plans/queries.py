@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import codecs, udfs
 from ..functions import columns as c
 from ..operators import chunking, snapshot
 
@@ -409,3 +410,49 @@ def geometric_mean(spark, sf):
 def link_cost(spark, sf):
     d = table(spark, sf, "documents").where("n_chars > 0")
     return d.select("doc_id", c.round_trip_cost(F.lit(3), F.lit(50), F.col("n_chars"), F.lit(100)).alias("seconds"), c.reduction_pct(F.floor(F.col("n_chars") / 2), F.col("n_chars")).alias("reduction_pct"))
+
+
+@query()
+def crc32c_check(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", udfs.crc32c_col(F.col("text").cast("binary")).alias("crc32c"))
+
+
+@query("SELECT DISTINCT o_orderkey * 7919 AS value, 'ok' AS code FROM orders")
+def varint_roundtrip(spark, sf):
+    v = table(spark, sf, "orders").select((F.col("o_orderkey") * 7919).alias("v")).distinct()
+    return v.select(udfs.decode_varint_col(udfs.varint_col("v")).alias("d")).select(F.col("d.value").cast("long").alias("value"), "d.code")
+
+
+@query("SELECT doc_id, sha256(text) AS digest, 'ok' AS code FROM documents WHERE octet_length(encode(text)) > 0")
+def lz_roundtrip(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw")).where(F.octet_length("raw") > 0)
+    best = d.select("doc_id", "raw", c.smaller(F.col("raw"), udfs.lz_compress_col("raw")).alias("s")).select("doc_id", "raw", "s.*")
+    back = best.select("doc_id", "payload", "compressed", udfs.lz_decompress_col("payload", F.octet_length("raw")).alias("d"))
+    data = F.when(F.col("compressed"), F.col("d.data")).otherwise(F.col("payload"))
+    return back.select("doc_id", F.sha2(data, 256).alias("digest"), F.when(F.col("compressed"), F.col("d.code")).otherwise("ok").alias("code"))
+
+
+@query("SELECT conv_id, turn, octet_length(encode(text))::INT AS raw_len, sha256(text) AS digest, 'ok' AS code FROM conversations")
+def frame_roundtrip(spark, sf):
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("raw"))
+    f = t.select("conv_id", "turn", udfs.decode_frame_col(udfs.encode_frame_col(F.lit(8), F.lit(0), "turn", F.octet_length("raw"), "raw")).alias("f"))
+    return f.select("conv_id", "turn", "f.raw_len", F.sha2("f.payload", 256).alias("digest"), "f.code")
+
+
+@query(f"WITH {_BASE} SELECT split_part(path, '/', 2) AS dataset, count(*) AS files, sum(octet_length(content))::BIGINT AS bytes, sum((octet_length(content) + {SIZE - 1}) // {SIZE})::BIGINT AS chunks FROM g0 GROUP BY 1")
+def manifest_roundtrip(spark, sf):
+    g = generation(spark, sf, 0)
+    own = refs(g).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "fp", "length"))).alias("chunks"))
+    rows = g.drop("content").join(own, "path", "left").withColumn("dataset", F.split("path", "/")[1])
+
+    def encode(pdf):
+        import pandas as pd
+
+        files = [codecs.FileEntry(r.path, r.mode, r.size, r.mtime_ns, bytes(r.digest), [(bytes(x["fp"]), x["length"]) for x in (r.chunks if r.chunks is not None else [])]) for r in pdf.itertuples()]
+        return pd.DataFrame([(codecs.encode_manifest(codecs.Manifest(0, pdf["dataset"].iloc[0], files)),)], columns=["data"])
+
+    # a manifest is one value of at most 64 MiB, so a dataset's files meet in one task
+    manifests = rows.groupBy("dataset").applyInPandas(encode, "data binary").select(udfs.decode_manifest_col("data").alias("m")).where("m.code = 'ok'")
+    total = F.aggregate("m.files", F.lit(0).cast("long"), lambda a, f: a + f["size"])
+    chunks = F.aggregate("m.files", F.lit(0).cast("long"), lambda a, f: a + F.size(f["chunks"]))
+    return manifests.select("m.dataset", F.size("m.files").cast("long").alias("files"), total.alias("bytes"), chunks.alias("chunks"))
