@@ -207,11 +207,10 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25) -> DataFrame:
         for batch in batches:
             texts, total, gone = [], [], []
             for text, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                h = words(text)
-                ranges = deleted_words(h, own, k, w) if own else []
+                ranges = deleted_words(words(text), own, k, w) if own else []
                 new, n = cut_words(text, ranges) if ranges else (text, 0)
                 texts.append(new)
-                total.append(len(h))
+                total.append(len(text.split()) if text else 0)
                 gone.append(n)
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_deleted"])
