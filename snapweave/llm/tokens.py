@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import string
 
 import numpy as np
 
@@ -40,9 +41,11 @@ class Encoder:
         self.leading = not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         drops = [x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", [])[:1]]
         self.bare = bool(norm and drops and drops[0] and kind["model"].get("end_of_word_suffix"))
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.suffixes: dict[str, bytes] = {}
         self.newline = self.whole(["\n"])[0] if self.leading else b""
+        mark = "\n" if self.leading else " | "
+        self.mark = (mark, self.whole([mark])[0])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
@@ -51,15 +54,45 @@ class Encoder:
         joined = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
         return [joined[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
-    def _look_up(self, known: dict[str, bytes], words: list[str], lead: str) -> list[bytes]:
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            new = list(set(words).difference(known))
-            known.update(zip(new, self.whole([lead + w for w in new]), strict=True))
-            return list(map(known.__getitem__, words))
+    def many(self, words: list[str]) -> list[bytes]:
+        """The ids of words without blanks but one in front, as one text cut at a mark that none of them holds."""
+        mark, own = self.mark
+        if len(own) != 4 or any(mark.strip(" ") in w for w in words):
+            return self.whole(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == np.frombuffer(own, "<u4")[0])
+        if len(cuts) != len(words) - 1:
+            return self.whole(words)
+        joined, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [joined[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(joined)], strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words not met yet. ASCII punctuation after a letter or digit is a pre-token of its own."""
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        parts, new = [], set(words).difference(known)
+        for w in [*new]:
+            base = w.rstrip(string.punctuation)
+            if len(base) < len(w) and base and base[-1].lower().isalnum() and len(base[-1].lower()) == 1:
+                parts.append((w, base, w[len(base) :]))
+                new.discard(w)
+                if base not in known:
+                    new.add(base)
+        for starts in (False, True) if self.leading else (False,):
+            own = [w for w in new if w.startswith("\n") == starts] if self.leading else list(new)
+            for low in range(0, len(own), 1000):
+                some = own[low : low + 1000]
+                if starts:
+                    known.update(zip(some, [self.newline + ids for ids in self.many([w[1:] for w in some])], strict=True))
+                else:
+                    known.update(zip(some, self.many([" " + w for w in some] if self.leading else some), strict=True))
+        for w, base, rest in parts:
+            if rest not in self.suffixes:
+                if len(self.suffixes) > 10_000:
+                    self.suffixes.clear()
+                self.suffixes[rest] = self.whole([rest])[0]
+            known[w] = known[base] + self.suffixes[rest]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text; none for null."""
@@ -67,16 +100,14 @@ class Encoder:
             return b""
         if not (self.leading or self.bare) or unsafe(text):
             return self.whole([text])[0]
-        if self.bare:
-            return b"".join(self._look_up(self.rest, text.split(), ""))
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                out.append(self.newline)
-            out += self._look_up(self.first, words[:1], "")
-            out += self._look_up(self.rest, words[1:], " ")
-        return b"".join(out)
+        # with leading blanks, a line's first word is remembered with the line break before it
+        words = f"\n{text}".replace("\n", " \n")[1:].split(" ") if self.leading else text.split()
+        try:
+            ids = list(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            ids = list(map(self.known.__getitem__, words))
+        return b"".join(ids)[len(self.newline) if self.leading else 0 :]
 
 
 _made: dict[str, Encoder] = {}
