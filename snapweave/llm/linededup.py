@@ -1,17 +1,16 @@
 """Line dedup by winnowing.
 
-A text is read as one line of words however it is broken. Every run of `k` words has a rolling hash; of each `w`
-consecutive hashes the minimum is kept as a fingerprint, so any run of k+w-1 words that two texts share has a
-fingerprint in both, at the same place of the run. Fingerprints are joined with their first position in the
-corpus (smallest document, then smallest place); as w <= k, fingerprints of a longer shared run overlap, and
-chains of them grow into regions. At a region's two ends the match is extended word by word against the texts where its
-three outermost fingerprints came from (they may stand first in different texts). Regions of at least `k+w-1` words are deleted: the first occurrence of
-every passage stays, later ones go.
-
-Scale: a fingerprint is joined with one position only, never with all others of its group, so a passage in a third
-of the documents costs as many rows as it has occurrences; first positions are pre-aggregated. Ends ask for at most 3w
-words of their source, so a source that thousands of documents copy from isn't shipped with each. Texts are
-shuffled twice (for the documents that are copied from, and those copied into), everything else is a few numbers a row.
+A text is read as one line of words however it is broken. Every run of `k` words has a rolling hash; a passage of
+k+w-1 words (a window) is told by the leftmost minimum of its `w` hashes, its fingerprint. Windows in a row that have
+one fingerprint make a span. Equal windows have equal fingerprints at the same place, so only windows of fingerprints
+that stand twice in the corpus may be copies. Of equal spans the first in the corpus (smallest document, then smallest
+place) stays, and all windows of the others are copies. Where spans of one fingerprint differ, as at the ends of
+passages and at edits, the first of each kind is compared window by window. So exactly the windows that stand
+earlier are deleted, whichever text they stand in.
+
+Scale: spans and windows are joined with one position only, never with all others of their group, so a passage in a third
+of the documents costs as many rows as it has occurrences; first positions are pre-aggregated. Texts are
+shuffled twice (for the windows, and for the deletion), everything else is a few numbers a row.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,16 +31,29 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = U(0x9E3779B97F4A7C15)
 
 
-def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+def _powers(n: int, known={}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first n powers of the base and of its inverse; remembered up to a million."""
+    if n > len(known.get("of", ((),))[0]):
+        size = max(n, 1 << 14)
+        made = tuple(np.cumprod(np.r_[U(1), np.full(size - 1, U(b))]) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+        if size > 1 << 20:
+            return made[0][:n], made[1][:n]
+        known["of"] = made
+    return known["of"][0][:n], known["of"][1][:n]
+
+
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums modulo 2^64 in which word j weighs BASE^j."""
+    return np.r_[U(0), np.cumsum(hashes * _powers(len(hashes))[0])]
+
+
+def rolling(hashes: np.ndarray, k: int, prefix: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of every run of k words, from prefix sums modulo 2^64."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, U)
-    power = np.cumprod(np.r_[U(1), np.full(n - 1, _BASE)])
-    prefix = np.r_[U(0), np.cumsum(hashes * power[::-1])]  # word j weighs BASE^(n-1-j)
-    inverse = U(pow(int(_BASE), -1, 1 << 64))
-    back = np.cumprod(np.r_[U(1), np.full(n - k, inverse)])[::-1]
-    return mix64((prefix[k:] - prefix[:-k]) * back)
+    prefix = _sums(hashes) if prefix is None else prefix
+    return mix64((prefix[k:] - prefix[:-k]) * _powers(n)[1][: n - k + 1])
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -63,6 +75,34 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(around == hashes)
 
 
+def _owners(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For every w consecutive hashes, the place of the leftmost minimum, by doubling."""
+    at, size = np.arange(len(hashes)), 1
+    pick = lambda a, b: np.where(hashes[b] < hashes[a], b, a)
+    while 2 * size <= w:
+        at, size = pick(at[:-size], at[size:]), 2 * size
+    return pick(at[: len(at) - (w - size)], at[w - size :]) if size < w else at
+
+
+def spans(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's words: (fingerprint, hash of the span, first window, windows after it) of every span."""
+    if len(hashes) < k + w - 1:
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    prefix = _sums(hashes)
+    h = rolling(hashes, k, prefix)
+    low = _sliding(h, w, True)
+    first = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
+    last = np.r_[first[1:], len(low)] - 1
+    at = winnow(h, w)
+    if len(at) != len(first) or (h[at] != low[first]).any() or (at < last).any() or (at >= first + w).any():  # ties
+        own = _owners(h, w)
+        first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
+        last, at = np.r_[first[1:], len(low)] - 1, own[first]
+    whole = mix64((prefix[last + k + w - 1] - prefix[first]) * _powers(len(hashes))[1][first])
+    shape = (last - first).astype(U) * U(w) + (at - first).astype(U)
+    return h[at], mix64(whole + mix64(shape + U(1))), first, last - first
+
+
 class Words:
     """Texts to words and their hashes."""
 
@@ -75,89 +115,71 @@ class Words:
 
 
 def fingerprints(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(h, doc, key, pos) of every fingerprint."""
+    """(h, s, doc, key, at, more) of every span: fingerprint, hash of the span, first window, windows after it."""
 
     def scan(batches):
         words = Words()
         for batch in batches:
             parts = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = rolling(words(text), k)
-                at = winnow(h, w)
+                h, s, at, more = spans(words(text), k, w)
                 if len(at):
-                    parts.append((h[at], np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32)))
+                    parts.append((h, s, np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32), more.astype(np.int32)))
             if parts:
-                h, doc, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(key), pa.array(at)], names=["h", "doc", "key", "pos"])
+                h, s, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s.view(np.int64), *rest)], names=["h", "s", "doc", "key", "at", "more"])
 
-    return docs.select("_doc", "_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, doc long, key long, pos int")
+    return docs.select("_doc", "_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, s long, doc long, key long, at int, more int")
 
 
-def _contexts(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
-    """For every asked (key, pos): the hashes of up to 3w words before it and after its k words, as bytes."""
-    own = asked.groupBy("key").agg(F.collect_set("pos").alias("places"))  # bounded by the document's words
-    full = docs.select(F.col("_key").alias("key"), F.col("text").cast("binary").alias("text")).join(own, "key").dropDuplicates(["key"])
+def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
+    """(g, doc, key, at) of every window of the asked (key, at, more): the hash of its words."""
+    own = asked.groupBy("key").agg(F.collect_set(F.struct("at", "more")).alias("places"))  # bounded by the document's words
+    full = docs.select("_doc", F.col("_key").alias("key"), F.col("text").cast("binary").alias("text")).join(own, "key").dropDuplicates(["key"])
 
     def cut(batches):
         words = Words()
         for batch in batches:
-            rows = []
-            for key, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = words(text)
-                rows += [(key, p, h[max(0, p - 3 * w) : p].tobytes(), h[p + k : p + k + 3 * w].tobytes()) for p in places]
-            for low in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 20_000], strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "pos", "before", "after"])
+            for doc, key, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                g = rolling(words(text), k + w - 1)
+                at = np.concatenate([np.arange(p["at"], p["at"] + p["more"] + 1, dtype=np.int32) for p in places])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[at].view(np.int64), np.full(len(at), doc), np.full(len(at), key), at)], names=["g", "doc", "key", "at"])
 
-    return full.select("key", "text", "places").mapInArrow(cut, "key long, pos int, before binary, after binary")
+    return full.select("_doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
 
 
 def regions(docs: DataFrame, shelf: Shelf, k: int, w: int) -> DataFrame:
-    """Per document with copied words: key and parts, structs (first, last, pos, left, words, room).
-
-    first and last are the places of a chain's first and last fingerprint, words those around one of its outermost
-    fingerprints (at pos) where it was copied from, to the left or to the right; room is how far left a
-    region may reach in a text that copies itself.
-    """
+    """Per document with copied words: key and parts, structs (a, b) of the words to delete, b exclusive."""
     prints = shelf.put(fingerprints(docs, k, w), "prints")
-    place = F.struct("doc", "key", "pos")
-    # a repeated hash has a first place other than its last one
-    first = prints.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    first = shelf.put(first.select("h", F.col("low.key").alias("src"), F.col("low.pos").alias("src_pos")), "first")
+    again = prints.groupBy("h").count().where("count > 1")
+    copied = shelf.put(prints.join(again, "h", "left_semi"), "copied")
+    shelf.drop("prints")
     shelf.settle()
+    low = F.min(F.struct("doc", "key", "at")).alias("low")
     # a text's own passage counts as copied only where it can't overlap its source
-    apart = (F.col("key") != F.col("src")) | (F.col("pos") >= F.col("src_pos") + 2 * (k + w))
-    copied = prints.join(first, "h").where(((F.col("key") != F.col("src")) | (F.col("pos") != F.col("src_pos"))) & apart)
-    own = Window.partitionBy("key").orderBy("pos")
-    islands = copied.select("key", "pos", "src", "src_pos").distinct().withColumn("new", (F.col("pos") - F.lag("pos").over(own) >= k).cast("int"))
-    islands = islands.withColumn("n", F.sum(F.coalesce("new", F.lit(0))).over(own))
-    chain = F.array_sort(F.collect_list(F.struct("pos", "src", "src_pos")))  # bounded by the document's words
-    islands = islands.groupBy("key", "n").agg(chain.alias("chain"))
-    ends = F.concat(F.transform(F.slice("chain", 1, 3), lambda x: F.struct(x.alias("x"), F.lit(True).alias("left"))), F.transform(F.slice(F.reverse("chain"), 1, 3), lambda x: F.struct(x.alias("x"), F.lit(False).alias("left"))))
-    islands = islands.select("key", F.get("chain", F.lit(0))["pos"].alias("first"), F.element_at("chain", -1)["pos"].alias("last"), F.explode(ends).alias("e"))
-    islands = shelf.put(islands.select("key", "first", "last", "e.left", "e.x.*"), "islands")
-    shelf.drop("prints", "first")
+    apart = (F.col("key") != F.col("low.key")) | (F.col("at") >= F.col("low.at") + 2 * (k + w))
+    first = shelf.put(copied.groupBy("h", "s").agg(low), "first")
+    known = shelf.put(copied.join(first, ["h", "s"]).select("h", "key", "at", "more", apart.alias("whole")), "known")
+    several = first.groupBy("h").count().where("count > 1")
+    asked = shelf.put(known.where("NOT whole").join(several, "h", "left_semi").select("key", "at", "more"), "asked")
+    shelf.drop("copied", "first")
+    shelf.settle()
+    windows = shelf.put(_windows(docs, asked, k, w), "windows")
     shelf.settle()
-    around = shelf.put(_contexts(docs, islands.select(F.col("src").alias("key"), F.col("src_pos").alias("pos")).distinct(), k, w), "around")
+    twice = windows.groupBy("g").agg(low, F.count("*").alias("n")).where("n > 1")
+    single = windows.join(twice, "g").where(apart).select("key", F.col("at").alias("a"), (F.col("at") + k + w - 1).alias("b"))
+    whole = known.where("whole").select("key", F.col("at").alias("a"), (F.col("at") + F.col("more") + k + w - 1).alias("b"))
+    found = whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("parts"))  # bounded by the document's words
+    found = shelf.put(found, "regions")
+    shelf.drop("known", "asked", "windows")
     shelf.settle()
-    known = islands.join(around.select(F.col("key").alias("src"), F.col("pos").alias("src_pos"), "before", "after"), ["src", "src_pos"])
-    room = F.when(F.col("src") == F.col("key"), F.col("src_pos") + k + w).otherwise(0)
-    part = F.struct("first", "last", "pos", "left", F.when(F.col("left"), F.col("before")).otherwise(F.col("after")).alias("words"), room.alias("room"))
-    return shelf.put(known.groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts")), "regions")
-
-
-def deleted_words(h: np.ndarray, parts: list, k: int, w: int) -> list[tuple[int, int]]:
-    """The ranges of words to delete, merged, from a text's hashes and its parts."""
-    found: dict[int, list[int]] = {}
-    for p in parts:
-        own, at, there = found.setdefault(p["first"], [p["first"], p["last"] + k]), p["pos"], np.frombuffer(p["words"], U)
-        here = h[max(0, at - 3 * w, p["room"]) : at][::-1] if p["left"] else h[at + k : at + k + 3 * w]
-        there = there[::-1] if p["left"] else there
-        n = min(len(here), len(there))
-        same = here[:n] == there[:n]
-        n = n if same.all() else int(np.argmin(same))
-        own[0], own[1] = (min(own[0], at - n), own[1]) if p["left"] else (own[0], max(own[1], at + k + n))
+    return found
+
+
+def merged(parts: list) -> list[tuple[int, int]]:
+    """The ranges of words to delete, in order and apart."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for a, b in found.values() if b - a >= k + w - 1):
+    for a, b in sorted((p["a"], p["b"]) for p in parts):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -203,11 +225,10 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25) -> DataFrame:
     at = names.index("text")
 
     def delete(batches):
-        words = Words()
         for batch in batches:
             texts, total, gone = [], [], []
             for text, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                ranges = deleted_words(words(text), own, k, w) if own else []
+                ranges = merged(own) if own else []
                 new, n = cut_words(text, ranges) if ranges else (text, 0)
                 texts.append(new)
                 total.append(len(text.split()) if text else 0)

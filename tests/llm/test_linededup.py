@@ -79,3 +79,34 @@ def test_winnowing_guarantee():
             assert at & {s + int(i) for i in np.flatnonzero(part == part.min())}
     w = rng.integers(0, 1 << 63, 90).astype(np.uint64)
     assert (L.rolling(w, 26)[10:30] == L.rolling(w[10:55], 26)).all()
+
+
+def test_edited_and_cut_earlier_copies(docs):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmn", k=6))
+    rows, exact = [], 0
+    for n in (50, 51, 55, 60, 80, 120):
+        for kind in range(12):
+            p = [word() for _ in range(n)]
+            edited = list(p)
+            edited[rnd.randrange(n)] = word()
+            other = [edited, p[: rnd.randrange(26, n + 1)], p[rnd.randrange(n - 25) :]][kind % 3]
+            for w in (other, p, p):
+                w = [word() for _ in range(rnd.randrange(30))] + w + [word() for _ in range(rnd.randrange(30))]
+                rows.append((len(rows), " ".join(w)))
+            exact += n
+    want = brute(rows)
+    got = {r.doc_id: r for r in L.dedup_lines(docs(rows)).collect()}
+    for k, w in want.items():
+        assert got[k].text.encode().lower().split() == w, k
+    assert sum(got[k].n_deleted for k in got if k % 3 == 2) == exact
+
+
+def test_spans_tell_windows_by_their_leftmost_minimum():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((49, 9), (50, 9), (300, 2), (300, 1), (300, 1 << 60)):
+        words = rng.integers(0, kinds, n).astype(np.uint64)
+        h, (found, _, first, more) = L.rolling(words, 26), L.spans(words, 26, 25)
+        own = [s + int(np.argmin(h[s : s + 25])) for s in range(n - 49)]
+        assert [h[x] for x in own] == [f for f, m in zip(found, more, strict=True) for _ in range(m + 1)]
+        assert first.tolist() == [s for s, x in enumerate(own) if not s or own[s - 1] != x]
