@@ -25,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; documents of which nothing is left go."""
-    found = linededup.dedup_lines(docs)
+    found = linededup.dedup_lines(docs, far=linededup.OWN_FAR)
     left = found.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     kept = left.select(*docs.columns, "n_deleted")
     if "n_chars" in docs.columns:

@@ -28,6 +28,8 @@ from .common import Shelf, WordHashes, bounded_batches, mix64, row_key, table
 U = np.uint64
 #: Words are runs of anything but ASCII blanks; they are compared with A-Z lower-cased.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: How far apart a text's own repetitions begin at least in the query and the pipeline: the length of a passage.
+OWN_FAR = 50
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -148,7 +150,7 @@ def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
     return full.select("_doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
 
 
-def regions(docs: DataFrame, shelf: Shelf, k: int, w: int) -> DataFrame:
+def regions(docs: DataFrame, shelf: Shelf, k: int, w: int, far: int) -> DataFrame:
     """Per document with copied words: key and parts, structs (a, b) of the words to delete, b exclusive."""
     prints = shelf.put(fingerprints(docs, k, w), "prints")
     again = prints.groupBy("h").count().where("count > 1")
@@ -156,8 +158,8 @@ def regions(docs: DataFrame, shelf: Shelf, k: int, w: int) -> DataFrame:
     shelf.drop("prints")
     shelf.settle()
     low = F.min(F.struct("doc", "key", "at")).alias("low")
-    # a text's own passage counts as copied only where it can't overlap its source
-    apart = (F.col("key") != F.col("low.key")) | (F.col("at") >= F.col("low.at") + 2 * (k + w))
+    # a text's own window counts as copied from `far` words after its source on
+    apart = (F.col("key") != F.col("low.key")) | (F.col("at") >= F.col("low.at") + far)
     first = shelf.put(copied.groupBy("h", "s").agg(low), "first")
     known = shelf.put(copied.join(first, ["h", "s"]).select("h", "key", "at", "more", apart.alias("whole")), "known")
     several = first.groupBy("h").count().where("count > 1")
@@ -206,12 +208,13 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), sum(b - a for a, b in ranges)
 
 
-def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = None) -> DataFrame:
     """Every row and column of `docs` (`doc_id`, `text`), text without passages of k+w-1 words or more that stand earlier, and
 
     n_words long (of the text as it was), n_deleted long.
 
-    Earlier is in a document of smaller (doc_id, hash of the row), or before it in the same text; a null id comes last.
+    Earlier is in a document of smaller (doc_id, hash of the row), or before it in the same text, begun at least
+    `far` words before (2*(k+w) unless given; from k+w-1 on the two can't overlap); a null id comes last.
     Rows with equal id and text are one document: they keep the same text. A text copied whole becomes empty. A
     null text stays null. Columns of `docs` named like an output column are replaced.
     """
@@ -220,7 +223,7 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25) -> DataFrame:
     docs = docs.drop("n_words", "n_deleted", "_doc", "_key", "_parts")
     names = docs.columns
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_key", row_key("doc_id", "text"))
-    parts = regions(keyed, Shelf(spark), k, w)
+    parts = regions(keyed, Shelf(spark), k, w, 2 * (k + w) if far is None else far)
     full = keyed.join(parts.select(F.col("key").alias("_key"), F.col("parts").alias("_parts")), "_key", "left").select(*names, "_parts")
     at = names.index("text")
 
@@ -241,5 +244,5 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25) -> DataFrame:
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without the passages of 50 words or more that stand earlier."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), far=OWN_FAR)
     return found.select("doc_id", "n_words", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

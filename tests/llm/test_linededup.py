@@ -110,3 +110,27 @@ def test_spans_tell_windows_by_their_leftmost_minimum():
         own = [s + int(np.argmin(h[s : s + 25])) for s in range(n - 49)]
         assert [h[x] for x in own] == [f for f, m in zip(found, more, strict=True) for _ in range(m + 1)]
         assert first.tolist() == [s for s, x in enumerate(own) if not s or own[s - 1] != x]
+
+
+def test_a_paragraph_that_stands_twice_in_a_row(docs):
+    rows = [(n, " ".join([f"d{n}w{i}" for i in range(n)] * 2 + ["end"])) for n in range(48, 111)]
+    rows.append((200, " ".join([f"w{i}" for i in range(30)] * 4)))
+    got = {r.doc_id: r.text.split() for r in L.dedup_lines(docs(rows), far=L.OWN_FAR).collect()}
+    for n, text in rows[:-1]:
+        w = text.split()
+        assert got[n] == (w[:n] + ["end"] if n >= 50 else w), n
+    assert got[200] == rows[-1][1].split()[:60]
+
+
+def test_equals_brute_force_with_own_repetitions(docs):
+    rows, seen = corpus(1), {}
+    got = {r.doc_id: r for r in L.dedup_lines(docs(rows), far=L.OWN_FAR).collect()}
+    for doc, text in rows:
+        w = text.encode().lower().split()
+        mark = [False] * len(w)
+        for i in range(len(w) - 49):
+            first = seen.setdefault(b" ".join(w[i : i + 50]), (doc, i))
+            if first[0] < doc or first[1] <= i - 50:
+                mark[i : i + 50] = [True] * 50
+        assert got[doc].text.encode().lower().split() == [x for x, m in zip(w, mark, strict=True) if not m], doc
+    assert any(got[doc].text.encode().lower().split() != w for doc, w in brute(rows).items())
