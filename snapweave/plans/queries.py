@@ -441,18 +441,34 @@ def frame_roundtrip(spark, sf):
 
 @query(f"WITH {_BASE} SELECT split_part(path, '/', 2) AS dataset, count(*) AS files, sum(octet_length(content))::BIGINT AS bytes, sum((octet_length(content) + {SIZE - 1}) // {SIZE})::BIGINT AS chunks FROM g0 GROUP BY 1")
 def manifest_roundtrip(spark, sf):
-    g = generation(spark, sf, 0)
-    own = refs(g).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "fp", "length"))).alias("chunks"))
-    rows = g.drop("content").join(own, "path", "left").withColumn("dataset", F.split("path", "/")[1])
+    return manifest_totals(generation(spark, sf, 0))
+
+
+def manifest_totals(files: DataFrame, aim: int = 4 << 20) -> DataFrame:
+    """(dataset, files, bytes, chunks) of files, read back from their manifests of about `aim` bytes each."""
+    n = F.octet_length("content")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(SIZE))).otherwise(F.array().cast("array<int>"))
+    part = lambda i: F.substring(F.col("content"), i + 1, F.lit(SIZE))
+    chunks = F.transform(starts, lambda i: F.struct(c.fingerprint(part(i)).alias("fp"), F.octet_length(part(i)).alias("length")))
+    rows = files.withColumn("dataset", F.split("path", "/")[1]).withColumn("row", F.monotonically_increasing_id())
+    # a manifest is one value of at most 64 MiB, so a dataset's files are dealt over as many as they need
+    weight = 128 + F.octet_length("path") + 40 * F.ceil(F.col("size") / SIZE)
+    large = rows.groupBy("dataset").agg(F.ceil(F.sum(weight) / aim).alias("n")).where("n > 1")  # one row per `aim` bytes at most
+    rows = rows.join(F.broadcast(large), "dataset", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("n", F.lit(1))))
+    rows = rows.select("dataset", "part", "path", "mode", "size", "mtime_ns", "digest", chunks.alias("chunks"))
 
     def encode(pdf):
         import pandas as pd
 
-        files = [codecs.FileEntry(r.path, r.mode, r.size, r.mtime_ns, bytes(r.digest), [(bytes(x["fp"]), x["length"]) for x in (r.chunks if r.chunks is not None else [])]) for r in pdf.itertuples()]
-        return pd.DataFrame([(codecs.encode_manifest(codecs.Manifest(0, pdf["dataset"].iloc[0], files)),)], columns=["data"])
-
-    # a manifest is one value of at most 64 MiB, so a dataset's files meet in one task
-    manifests = rows.groupBy("dataset").applyInPandas(encode, "data binary").select(udfs.decode_manifest_col("data").alias("m")).where("m.code = 'ok'")
-    total = F.aggregate("m.files", F.lit(0).cast("long"), lambda a, f: a + f["size"])
-    chunks = F.aggregate("m.files", F.lit(0).cast("long"), lambda a, f: a + F.size(f["chunks"]))
-    return manifests.select("m.dataset", F.size("m.files").cast("long").alias("files"), total.alias("bytes"), chunks.alias("chunks"))
+        dataset, out = pdf["dataset"].iloc[0], []
+        for _, own in pdf.groupby(pdf.groupby("path").cumcount()):  # a manifest holds a path once
+            files = [codecs.FileEntry(r.path, r.mode, r.size, r.mtime_ns, bytes(r.digest), [(bytes(x["fp"]), x["length"]) for x in r.chunks]) for r in own.itertuples()]
+            out.append((codecs.encode_manifest(codecs.Manifest(0, dataset, files)),))
+        return pd.DataFrame(out, columns=["data"])
+
+    read = rows.groupBy("dataset", "part").applyInPandas(encode, "data binary").select(udfs.decode_manifest_col("data").alias("m"))
+    fine = F.when(F.col("m.code") == "ok", F.col("m.files")).otherwise(F.raise_error(F.concat(F.lit("a manifest cannot be read: "), "m.code")))
+    total = F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"])
+    count = F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + F.size(f["chunks"]))
+    own = read.select("m.dataset", fine.alias("files")).select("dataset", F.size("files").cast("long").alias("files"), total.alias("bytes"), count.alias("chunks"))
+    return own.groupBy("dataset").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("chunks").alias("chunks"))

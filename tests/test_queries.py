@@ -40,3 +40,14 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert "negotiation_summary" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_manifests_are_split_and_repeated_paths_are_kept(spark):
+    rows = [(f"docs/{'hot' if k % 4 else 'cold'}/d{k % 150}.txt", 420, len(t), k, bytes(32), t) for k in range(200) for t in [bytes([k]) * (k * 37 % 3000)]]
+    files = spark.createDataFrame(rows, "path string, mode int, size long, mtime_ns long, digest binary, content binary")
+    want = {}
+    for path, _, size, *_ in rows:
+        n = want.setdefault(path.split("/")[1], [0, 0, 0])
+        n[:] = n[0] + 1, n[1] + size, n[2] + -(-size // queries.SIZE)
+    for aim in (4 << 20, 1000):
+        assert {r.dataset: [r.files, r.bytes, r.chunks] for r in queries.manifest_totals(files, aim).collect()} == want
