@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words of a benchmark item (nor a shorter item)."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), nameless=True)
     return found.where(F.col("n_hit") == 0).select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ class Table:
                 block, jump = p[end - b : end], length - end
                 if jump < self.shift.get(block, self.default):
                     self.shift[block] = jump
-            self.buckets[p[-b:]][p[:b]].append((p, tuple(sorted(owners))))
+            self.buckets[p[-b:]][p[:b]].append((p, tuple(owners)))
         self.buckets = {k: dict(v) for k, v in self.buckets.items()}
 
     def search(self, words: list[bytes]):
@@ -66,11 +66,11 @@ def windows(words: list[bytes], window: int) -> set[tuple]:
     return {tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def build(items: list[tuple], window: int) -> list[Table]:
-    """Tables over (item id as text, text) pairs; null ids and texts have no windows."""
+def build(items: list[tuple], window: int, nameless: bool = False) -> list[Table]:
+    """Tables over (item id as text, text) pairs; null texts have no windows, null ids only if `nameless`."""
     by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
-        if item is None or text is None:
+        if item is None and not nameless or text is None:
             continue
         for p in windows(alnum_words(text.encode()), window):
             by_length[len(p)][p].add(item)
@@ -92,7 +92,7 @@ def scan(text: bytes | None, tables: list[Table]) -> tuple[int, list, list, list
         else:
             starts.append(first)
             ends.append(end)
-    return len(words), starts, ends, sorted(items)
+    return len(words), starts, ends, sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int):
@@ -105,9 +105,9 @@ def item_blocks(benchmark: DataFrame, block_bytes: int):
         yield n, [(r.item, r.text) for r in part.collect()]
 
 
-def _pass(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple], window: int, nameless: bool) -> DataFrame:
     """`docs` with n_words, _starts, _ends and _items; a narrow map."""
-    tables = docs.sparkSession.sparkContext.broadcast(build(items, window))
+    tables = docs.sparkSession.sparkContext.broadcast(build(items, window, nameless))
     longs, strings = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
     schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("_starts", longs), ("_ends", longs), ("_items", strings)))])
 
@@ -121,14 +121,15 @@ def _pass(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
     return docs.mapInArrow(search, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, nameless: bool = False) -> DataFrame:
     """Every row and column of `docs` (which must have `doc_id` and `text`), and
 
     n_words long, hit_starts and hit_ends array<long> (merged ranges of hit words, end exclusive),
     items array<string> (ids of the items hit, sorted), n_hit long.
 
     A null or empty text has no words and no hits. Rows that repeat an id are scanned one by one.
-    Items without id or words match nothing; an empty benchmark gives no hits. Columns of `docs`
+    Items without words match nothing, nor do those without id unless `nameless`; then they count as one item and
+    `items` ends with a null where any is hit. An empty benchmark gives no hits. Columns of `docs`
     named like an output column are replaced by it; others stay as they are.
     """
     spark = docs.sparkSession
@@ -138,16 +139,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     blocks = item_blocks(benchmark, block_bytes)
     n, items = next(blocks)
     if n == 1:
-        hits = _pass(docs, items, window)
+        hits = _pass(docs, items, window, nameless)
     else:
         shelf = Shelf(spark)
         keyed = docs.withColumn("_key", row_key("doc_id", "text"))
         slim, parts = keyed.select("doc_id", "text", "_key").dropDuplicates(["_key"]), None
         for k, (_, items) in enumerate(_chain((n, items), blocks)):
-            part = shelf.put(_pass(slim, items, window).where(F.size("_items") > 0).select("_key", "_starts", "_ends", "_items"), f"block{k}")
+            part = shelf.put(_pass(slim, items, window, nameless).where(F.size("_items") > 0).select("_key", "_starts", "_ends", "_items"), f"block{k}")
             parts = part if parts is None else parts.unionByName(part)
         merged = parts.groupBy("_key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("_starts", "_ends", "_items")])
-        hits = _pass(keyed, [], window).drop("_starts", "_ends", "_items").join(merged, "_key", "left").drop("_key")
+        hits = _pass(keyed, [], window, nameless).drop("_starts", "_ends", "_items").join(merged, "_key", "left").drop("_key")
         ranges = F.array_sort(F.arrays_zip("_starts", "_ends"))
         step = lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["_ends"] >= r["_starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["_starts"].alias("_starts"), F.greatest(F.element_at(acc, -1)["_ends"], r["_ends"]).alias("_ends"))))).otherwise(F.concat(acc, F.array(r)))
         ranges = F.aggregate(ranges, F.array().cast("array<struct<_starts:bigint,_ends:bigint>>"), step)
@@ -167,7 +168,7 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    return decontaminate(docs, benchmark).select(
+    return decontaminate(docs, benchmark, nameless=True).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

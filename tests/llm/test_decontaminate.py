@@ -50,3 +50,18 @@ def test_odd_rows_and_empty_tables(spark, docs):
     assert all(r.n_words == 0 for r in got if not (r.text or "").strip())
     assert sum(r.n_hit for r in d.decontaminate(docs(ODD), bench.limit(0)).collect()) == 0
     assert d.decontaminate(docs(ODD).limit(0), bench).count() == 0
+
+
+def test_items_without_id_hit_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rows, items = corpus(2)
+    items += [(None, "noise noise"), (None, "the of"), (None, None)]
+    for name, t in (("documents", spark.createDataFrame(rows, "doc_id long, text string")), ("benchmark", spark.createDataFrame(items, "item_id long, text string"))):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.execute(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, d.op1_decontaminate(spark, str(tmp_path)).collect()))
+    assert got == sorted(duckdb.execute(d.ORACLE).fetchall())
+    docs, bench = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    one, many = ({(r.doc_id, r.n_hit, tuple(r["items"])) for r in d.decontaminate(docs, bench, block_bytes=b, nameless=True).collect()} for b in (8 << 20, 300))
+    assert one == many and any(None in x[2] for x in one)
