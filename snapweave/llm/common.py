@@ -67,9 +67,10 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.dir = spark, shared_dir(spark)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write a table, in a folder for each value of `by` if given, and read it."""
         path = f"{self.dir}/{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
@@ -89,6 +90,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """`docs` without the columns that an operator adds under these names, in any case, and without reserved ones (`__w_`)."""
+    taken = {n.lower() for n in names}
+    return docs.drop(*[c for c in docs.columns if c.lower() in taken or c.lower().startswith("__w_")])
+
+
 def row_key(*cols) -> F.col:
     """A 64-bit key of a row's content: rows that agree in all of `cols` are one document."""
     return F.xxhash64(*cols)

@@ -1,20 +1,26 @@
 """Line dedup by winnowing.
 
-A text is read as one line of words however it is broken. Every run of `k` words has a rolling hash; a passage of
-k+w-1 words (a window) is told by the leftmost minimum of its `w` hashes, its fingerprint. Windows in a row that have
-one fingerprint make a span. Equal windows have equal fingerprints at the same place, so only windows of fingerprints
-that stand twice in the corpus may be copies. Of equal spans the first in the corpus (smallest document, then smallest
-place) stays, and all windows of the others are copies. Where spans of one fingerprint differ, as at the ends of
-passages and at edits, the first of each kind is compared window by window. So exactly the windows that stand
-earlier are deleted, whichever text they stand in.
-
-Scale: spans and windows are joined with one position only, never with all others of their group, so a passage in a third
-of the documents costs as many rows as it has occurrences; first positions are pre-aggregated. Texts are
-shuffled twice (for the windows, and for the deletion), everything else is a few numbers a row.
+Lines: every line of `line_words` words or more has a hash; the first in the corpus (smallest document, then smallest
+place) stays, and later ones go, however short a run of lines they stand in.
+
+Passages, which need not begin or end with a line: a text is read as one line of words however it is broken. Every run
+of `k` words has a rolling hash; a passage of k+w-1 words (a window) is told by the leftmost minimum of its `w` hashes,
+its fingerprint. Windows in a row that have one fingerprint make a span. Equal windows have equal fingerprints at the
+same place, so only windows of fingerprints that stand twice in the corpus may be copies. Of equal spans the first in the
+corpus stays, and all windows of the others are copies. Where spans of one fingerprint differ, as at the ends of passages
+and at edits, their windows are compared one by one: a match is extended both ways to exactly the windows that
+stand earlier, whichever text they stand in, and nothing stitched together from several sources goes.
+
+Scale: lines and spans are joined with one position only, never with all others of their group, so a passage in a third
+of the documents costs as many rows as it has occurrences; first positions are pre-aggregated. Fingerprints are
+written once and met in `slices` of their hashes one after the other, so what is shuffled at a time is a share of them, and
+those that stand once go at the first meeting. Texts are shuffled twice (for differing spans, and for the
+deletion), everything else is a few numbers a row.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -23,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, WordHashes, bounded_batches, mix64, row_key, table
+from .common import Shelf, WordHashes, bounded_batches, mix64, row_key, table, without
 
 U = np.uint64
+PRINTS = ["h", "s", "doc", "key", "at", "n"]
 #: Words are runs of anything but ASCII blanks; they are compared with A-Z lower-cased.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: How far apart a text's own repetitions begin at least in the query and the pipeline: the length of a passage.
 OWN_FAR = 50
+#: From how many words on the query deletes a line that stands earlier as a line.
+LINE_WORDS = 8
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -66,43 +75,45 @@ def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Places whose hash is the minimum of some w consecutive ones (all of them at ties); one for a shorter row."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    if len(hashes) < w:
-        return np.flatnonzero(hashes == hashes.min())
-    low = _sliding(hashes, w, True)
-    around = _sliding(np.r_[np.zeros(w - 1, U), low, np.zeros(w - 1, U)], w, False)
-    return np.flatnonzero(around == hashes)
+#: Words that are hashed at a time; a place among them takes 20 bits.
+CHUNK = 1 << 20
 
 
-def _owners(hashes: np.ndarray, w: int) -> np.ndarray:
-    """For every w consecutive hashes, the place of the leftmost minimum, by doubling."""
-    at, size = np.arange(len(hashes)), 1
-    pick = lambda a, b: np.where(hashes[b] < hashes[a], b, a)
-    while 2 * size <= w:
-        at, size = pick(at[:-size], at[size:]), 2 * size
-    return pick(at[: len(at) - (w - size)], at[w - size :]) if size < w else at
+def _least(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For every w consecutive hashes the place of the leftmost minimum of their upper 44 bits (at most CHUNK hashes)."""
+    low = U(CHUNK - 1)
+    return (_sliding((hashes & ~low) | np.arange(len(hashes), dtype=U), w, True) & low).astype(np.int64)
 
 
-def spans(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's words: (fingerprint, hash of the span, first window, windows after it) of every span."""
-    if len(hashes) < k + w - 1:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    prefix = _sums(hashes)
+def spans(hashes: np.ndarray, k: int, w: int, starts: np.ndarray | None = None, prefix: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(fingerprint, hash of the span, first window, windows after it) of every span of the texts that begin at `starts` of one row of words."""
+    need, n, none = k + w - 1, len(hashes), np.zeros(0, np.int64)
+    if n < need:
+        return np.zeros(0, U), np.zeros(0, U), none, none
+    prefix = _sums(hashes) if prefix is None else prefix
+    starts = np.zeros(1, np.int64) if starts is None else starts
     h = rolling(hashes, k, prefix)
-    low = _sliding(h, w, True)
-    first = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
-    last = np.r_[first[1:], len(low)] - 1
-    at = winnow(h, w)
-    if len(at) != len(first) or (h[at] != low[first]).any() or (at < last).any() or (at >= first + w).any():  # ties
-        own = _owners(h, w)
-        first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-        last, at = np.r_[first[1:], len(low)] - 1, own[first]
-    whole = mix64((prefix[last + k + w - 1] - prefix[first]) * _powers(len(hashes))[1][first])
+    own = _least(h, w)
+    ends = np.r_[starts[1:], n]
+    whole = ends - starts >= need
+    # the first window of a text begins a span; windows that reach into the next text are none
+    opens, fits = np.zeros(len(own), bool), np.zeros(len(own) + 1, np.int32)
+    opens[starts[whole]] = True
+    np.add.at(fits, starts[whole], 1)
+    np.add.at(fits, ends[whole] - need + 1, -1)
+    fits = np.cumsum(fits[:-1]) > 0
+    opens[1:] |= own[1:] != own[:-1]
+    first = np.flatnonzero(opens & fits)
+    last = np.flatnonzero(np.r_[opens[1:] | ~fits[1:], True] & fits)
+    at = own[first]
+    content = mix64((prefix[last + need] - prefix[first]) * _powers(n)[1][first])
     shape = (last - first).astype(U) * U(w) + (at - first).astype(U)
-    return h[at], mix64(whole + mix64(shape + U(1))), first, last - first
+    return h[at], mix64(content + mix64(shape + U(1))), first, last - first
+
+
+def line_hashes(starts: np.ndarray, counts: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """A hash of every run of `counts` words from `starts` on, apart from those of spans."""
+    return mix64(mix64((prefix[starts + counts] - prefix[starts]) * _powers(len(prefix) - 1)[1][starts]) + mix64(counts.astype(U) + (U(1) << U(40))))
 
 
 class Words:
@@ -116,63 +127,107 @@ class Words:
         return self.hashes(words) if words else np.zeros(0, U)
 
 
-def fingerprints(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(h, s, doc, key, at, more) of every span: fingerprint, hash of the span, first window, windows after it."""
+def pieces(words: list[bytes], counts: list[int], need: int):
+    """A text in parts of at most CHUNK words that share need-1 words: (place, words, places of whole lines, their word counts).
+
+    A line counts in the first part that holds it whole; one that no part holds is longer than any span.
+    """
+    begins = list(itertools.accumulate(counts, initial=0))[:-1]
+    at = done = 0
+    while True:
+        end = at + CHUNK
+        own = [(b - at, n) for b, n in zip(begins, counts, strict=True) if b >= at and done < b + n <= end] if len(words) > CHUNK else zip(begins, counts, strict=True)
+        yield at, words[at:end], *(zip(*own, strict=True) if counts else ((), ()))
+        if end >= len(words):
+            return
+        at, done = end - need + 1, end
+
+
+def fingerprints(docs: DataFrame, k: int, w: int, line_words: int | None) -> DataFrame:
+    """(h, s, doc, key, at, n) of every span and of every line shorter than one: fingerprint, hash of the whole, first word, words."""
+    need = k + w - 1
+
+    def made(held, hashes):
+        """Rows of some texts' parts: (doc, key, place, words, places of lines, their word counts)."""
+        h = hashes([x for part in held for x in part[3]])
+        sizes = np.array([len(part[3]) for part in held])
+        starts, prefix = np.cumsum(sizes) - sizes, _sums(h)
+        f, s, first, more = spans(h, k, w, starts[sizes > 0], prefix)
+        n = more + need
+        if line_words is not None:
+            counts = np.array([c for part in held for c in part[5]], np.int64)
+            begin = np.array([b for part in held for b in part[4]], np.int64) + np.repeat(starts, [len(part[4]) for part in held])
+            keep = (counts >= max(1, line_words)) & (counts < need)
+            own = line_hashes(begin[keep], counts[keep], prefix)
+            f, s, first, n = (np.concatenate(x) for x in ((f, own), (s, own), (first, begin[keep]), (n, counts[keep])))
+        part = np.searchsorted(starts, first, side="right") - 1
+        doc, key, place = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        return [pa.array(x) for x in (f.view(np.int64), s.view(np.int64), doc[part], key[part], (first - starts[part] + place[part]).astype(np.int32), n.astype(np.int32))]
 
     def scan(batches):
-        words = Words()
+        hashes = WordHashes()
         for batch in batches:
-            parts = []
+            held, size = [], 0
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h, s, at, more = spans(words(text), k, w)
-                if len(at):
-                    parts.append((h, s, np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32), more.astype(np.int32)))
-            if parts:
-                h, s, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s.view(np.int64), *rest)], names=["h", "s", "doc", "key", "at", "more"])
+                lines = [line.split() for line in text.lower().split(b"\n")] if text else []
+                for part in pieces([x for line in lines for x in line], [len(x) for x in lines], need):
+                    if held and size + len(part[1]) > CHUNK:
+                        yield pa.RecordBatch.from_arrays(made(held, hashes), names=PRINTS)
+                        held, size = [], 0
+                    if part[1]:
+                        held.append((doc, key, *part))
+                        size += len(part[1])
+            if held:
+                yield pa.RecordBatch.from_arrays(made(held, hashes), names=PRINTS)
 
-    return docs.select("_doc", "_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, s long, doc long, key long, at int, more int")
+    return docs.select("__w_doc", "__w_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, s long, doc long, key long, at int, n int")
 
 
 def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
-    """(g, doc, key, at) of every window of the asked (key, at, more): the hash of its words."""
-    own = asked.groupBy("key").agg(F.collect_set(F.struct("at", "more")).alias("places"))  # bounded by the document's words
-    full = docs.select("_doc", F.col("_key").alias("key"), F.col("text").cast("binary").alias("text")).join(own, "key").dropDuplicates(["key"])
+    """(g, doc, key, at) of every window of the asked (doc, key, at, n): the hash of its words."""
+    own = asked.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "n")).alias("places"))  # bounded by the document's words
+    full = docs.select(F.col("__w_doc").alias("doc"), F.col("__w_key").alias("key"), F.col("text").cast("binary").alias("text")).join(own, ["doc", "key"]).dropDuplicates(["doc", "key"])
+    need = k + w - 1
 
     def cut(batches):
         words = Words()
         for batch in batches:
             for doc, key, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                g = rolling(words(text), k + w - 1)
-                at = np.concatenate([np.arange(p["at"], p["at"] + p["more"] + 1, dtype=np.int32) for p in places])
+                g = rolling(words(text), need)
+                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"] - need + 1, dtype=np.int32) for p in places])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[at].view(np.int64), np.full(len(at), doc), np.full(len(at), key), at)], names=["g", "doc", "key", "at"])
 
-    return full.select("_doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
+    return full.select("doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
 
 
-def regions(docs: DataFrame, shelf: Shelf, k: int, w: int, far: int) -> DataFrame:
-    """Per document with copied words: key and parts, structs (a, b) of the words to delete, b exclusive."""
-    prints = shelf.put(fingerprints(docs, k, w), "prints")
-    again = prints.groupBy("h").count().where("count > 1")
-    copied = shelf.put(prints.join(again, "h", "left_semi"), "copied")
+def regions(docs: DataFrame, shelf: Shelf, k: int, w: int, far: int, line_words: int | None, slices: int) -> DataFrame:
+    """Per document with copied words: doc, key and parts, structs (a, b) of the words to delete, b exclusive."""
+    need, copied = k + w - 1, None
+    prints = shelf.put(fingerprints(docs, k, w, line_words).withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")), "prints", "slice")
+    for j in range(slices):
+        part = prints.where(F.col("slice") == j).select(*PRINTS)
+        again = part.groupBy("h").count().where("count > 1")
+        part = shelf.put(part.join(again, "h", "left_semi"), f"copied{j}")
+        copied = part if copied is None else copied.unionByName(part)
+        shelf.settle()
     shelf.drop("prints")
-    shelf.settle()
     low = F.min(F.struct("doc", "key", "at")).alias("low")
-    # a text's own window counts as copied from `far` words after its source on
-    apart = (F.col("key") != F.col("low.key")) | (F.col("at") >= F.col("low.at") + far)
+    # a text's own window counts as copied from `far` words after its source on; a line any time later
+    same = (F.col("doc") == F.col("low.doc")) & (F.col("key") == F.col("low.key"))
+    apart = ~same | (F.col("at") >= F.col("low.at") + far)
     first = shelf.put(copied.groupBy("h", "s").agg(low), "first")
-    known = shelf.put(copied.join(first, ["h", "s"]).select("h", "key", "at", "more", apart.alias("whole")), "known")
+    whole = F.when(F.col("n") < need, ~same | (F.col("at") > F.col("low.at"))).otherwise(apart)
+    known = shelf.put(copied.join(first, ["h", "s"]).select("h", "doc", "key", "at", "n", whole.alias("whole")), "known")
     several = first.groupBy("h").count().where("count > 1")
-    asked = shelf.put(known.where("NOT whole").join(several, "h", "left_semi").select("key", "at", "more"), "asked")
-    shelf.drop("copied", "first")
+    asked = shelf.put(known.where("NOT whole").join(several, "h", "left_semi").select("doc", "key", "at", "n"), "asked")
+    shelf.drop("first", *[f"copied{j}" for j in range(slices)])
     shelf.settle()
     windows = shelf.put(_windows(docs, asked, k, w), "windows")
     shelf.settle()
-    twice = windows.groupBy("g").agg(low, F.count("*").alias("n")).where("n > 1")
-    single = windows.join(twice, "g").where(apart).select("key", F.col("at").alias("a"), (F.col("at") + k + w - 1).alias("b"))
-    whole = known.where("whole").select("key", F.col("at").alias("a"), (F.col("at") + F.col("more") + k + w - 1).alias("b"))
-    found = whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("parts"))  # bounded by the document's words
-    found = shelf.put(found, "regions")
+    twice = windows.groupBy("g").agg(low, F.count("*").alias("times")).where("times > 1")
+    single = windows.join(twice, "g").where(apart).select("doc", "key", F.col("at").alias("a"), (F.col("at") + need).alias("b"))
+    found = known.where("whole").select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")).unionByName(single)
+    found = shelf.put(found.groupBy("doc", "key").agg(F.collect_set(F.struct("a", "b")).alias("parts")), "regions")  # bounded by the document's words
     shelf.drop("known", "asked", "windows")
     shelf.settle()
     return found
@@ -208,24 +263,28 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), sum(b - a for a, b in ranges)
 
 
-def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = None) -> DataFrame:
-    """Every row and column of `docs` (`doc_id`, `text`), text without passages of k+w-1 words or more that stand earlier, and
+def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = None, line_words: int | None = None, slices: int = 4) -> DataFrame:
+    """Every row and column of `docs` (`doc_id`, `text`), text without passages of k+w-1 words or more that stand earlier and
+    without lines of `line_words` words or more that stand earlier as lines (none unless given), and
 
     n_words long (of the text as it was), n_deleted long.
 
-    Earlier is in a document of smaller (doc_id, hash of the row), or before it in the same text, begun at least
-    `far` words before (2*(k+w) unless given; from k+w-1 on the two can't overlap); a null id comes last.
+    Earlier is in a document of smaller (doc_id, hash of the row), or before it in the same text, for passages begun at least
+    `far` words before (2*(k+w) unless given; from k+w-1 on the two can't overlap); a null id comes last. Lines end at
+    line breaks and are compared word by word, A-Z lower-cased.
     Rows with equal id and text are one document: they keep the same text. A text copied whole becomes empty. A
-    null text stays null. Columns of `docs` named like an output column are replaced.
+    null text stays null. Columns of `docs` named like an output column, in any case, are replaced; names that begin
+    with `__w_` are reserved and such columns dropped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.drop("n_words", "n_deleted", "_doc", "_key", "_parts")
-    names = docs.columns
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_key", row_key("doc_id", "text"))
-    parts = regions(keyed, Shelf(spark), k, w, 2 * (k + w) if far is None else far)
-    full = keyed.join(parts.select(F.col("key").alias("_key"), F.col("parts").alias("_parts")), "_key", "left").select(*names, "_parts")
-    at = names.index("text")
+    docs = without(docs, "n_words", "n_deleted")
+    names, kinds = docs.columns, docs.schema
+    at = [n.lower() for n in names].index("text")
+    keyed = docs.withColumn("__w_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__w_key", row_key("doc_id", "text"))
+    parts = regions(keyed, Shelf(spark), k, w, 2 * (k + w) if far is None else far, line_words, slices)
+    parts = parts.select(F.col("doc").alias("__w_doc"), F.col("key").alias("__w_key"), F.col("parts").alias("__w_parts"))
+    full = keyed.join(parts, ["__w_doc", "__w_key"], "left").select(*[keyed[n] for n in names], "__w_parts")
 
     def delete(batches):
         for batch in batches:
@@ -239,10 +298,10 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = Non
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_deleted"])
 
-    return full.mapInArrow(delete, T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_deleted", T.LongType())]))
+    return full.mapInArrow(delete, T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_deleted", T.LongType())]))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without the passages of 50 words or more that stand earlier."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), far=OWN_FAR)
+    """All documents without the lines of eight words or more, and the passages of 50 words or more, that stand earlier."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), far=OWN_FAR, line_words=LINE_WORDS)
     return found.select("doc_id", "n_words", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

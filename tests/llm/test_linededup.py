@@ -69,18 +69,40 @@ def test_odd_rows(docs):
     assert L.dedup_lines(docs(ODD).limit(0)).count() == 0
 
 
-def test_winnowing_guarantee():
+def test_every_window_has_its_leftmost_minimum():
     rng = np.random.default_rng(3)
-    for n in (1, 24, 25, 26, 200):
-        h = rng.integers(0, 40, n).astype(np.uint64)
-        at = set(L.winnow(h, 25).tolist())
-        for s in range(max(1, n - 24)):
-            part = h[s : s + 25]
-            assert at & {s + int(i) for i in np.flatnonzero(part == part.min())}
+    for n in (25, 26, 49, 200):
+        h = rng.integers(0, 40, n).astype(np.uint64) << np.uint64(30)
+        own = L._least(h, 25)
+        assert own.tolist() == [s + int(np.argmin(h[s : s + 25])) for s in range(n - 24)]
     w = rng.integers(0, 1 << 63, 90).astype(np.uint64)
     assert (L.rolling(w, 26)[10:30] == L.rolling(w[10:55], 26)).all()
 
 
+def test_texts_side_by_side_have_their_own_spans():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (1, 300, 49, 50, 51, 3, 120, 20)]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    together = list(zip(*(x.tolist() for x in L.spans(np.concatenate(texts), 26, 25, starts)), strict=True))
+    alone = [(h, s, a + int(b), m) for t, b in zip(texts, starts, strict=True) for h, s, a, m in zip(*(x.tolist() for x in L.spans(t, 26, 25)), strict=True)]
+    assert together == alone
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 128)
+    rnd = random.Random(7)
+    counts = [rnd.randrange(0, 60) for _ in range(40)]
+    words = [b"%d" % i for i in range(sum(counts))]
+    lines, covered = [], set()
+    for at, part, begins, own in L.pieces(words, counts, 50):
+        assert part == words[at : at + 128]
+        covered |= {(at + i) for i in range(len(part) - 49)}
+        lines += [(at + b, n) for b, n in zip(begins, own, strict=True)]
+    begins = np.cumsum([0, *counts])[:-1].tolist()
+    short = {(b, n) for b, n in zip(begins, counts, strict=True) if 0 < n < 50}
+    assert covered == set(range(len(words) - 49)) and short <= set(lines) and sorted(x for x in lines if x[1]) == sorted(set(x for x in lines if x[1]))
+
+
 def test_edited_and_cut_earlier_copies(docs):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choices("abcdefghijklmn", k=6))
@@ -134,3 +156,58 @@ def test_equals_brute_force_with_own_repetitions(docs):
                 mark[i : i + 50] = [True] * 50
         assert got[doc].text.encode().lower().split() == [x for x, m in zip(w, mark, strict=True) if not m], doc
     assert any(got[doc].text.encode().lower().split() != w for doc, w in brute(rows).items())
+
+
+def with_lines(rows, least, need=50):
+    """Brute force: windows that stand earlier in another text (or `need` words before), and lines that stand earlier."""
+    windows, lines, out = {}, {}, {}
+    for doc, text in sorted(rows):
+        w, cuts = [], []
+        for line in (text or "").encode().lower().split(b"\n"):
+            cuts.append((len(w), len(line.split())))
+            w += line.split()
+        mark = [False] * len(w)
+        for i in range(len(w) - need + 1):
+            first = windows.setdefault(b" ".join(w[i : i + need]), (doc, i))
+            if first[0] < doc or first[1] <= i - need:
+                mark[i : i + need] = [True] * need
+        for i, n in cuts:
+            if least <= n < need and lines.setdefault(b" ".join(w[i : i + n]), (doc, i)) != (doc, i):
+                mark[i : i + n] = [True] * n
+        out[doc] = [x for x, m in zip(w, mark, strict=True) if not m]
+    return out
+
+
+def test_repeated_lines_go_however_few(docs):
+    line = " ".join(f"word{i}" for i in range(12))
+    rows = [(k, f"start {k} of it\n{line}\nmiddle {k}\n{line.upper()} \nseven words that stand in every text\nend {k}") for k in range(50)]
+    got = {r.doc_id: r for r in L.dedup_lines(docs(rows), far=L.OWN_FAR, line_words=8).collect()}
+    assert got[0].n_deleted == 12 and all(got[k].n_deleted == 24 and "seven words" in got[k].text for k in range(1, 50))
+    assert all(r.n_deleted == 0 for r in L.dedup_lines(docs(rows), far=L.OWN_FAR).collect())
+
+
+def test_lines_and_passages_equal_brute_force(docs):
+    rnd, rows = random.Random(8), corpus(2)
+    pool = [" ".join("".join(rnd.choices("abcdefghijklmn", k=5)) for _ in range(n)) for n in (1, 7, 8, 9, 30, 49, 50, 70)]
+    rows = [(k, "\n".join(rnd.sample([t, *rnd.choices(pool, k=4)], 5))) for k, t in rows]
+    want = with_lines(rows, 8)
+    got = {r.doc_id: r for r in L.dedup_lines(docs(rows), far=L.OWN_FAR, line_words=8).collect()}
+    assert all(got[k].text.encode().lower().split() == w for k, w in want.items())
+
+
+def test_nothing_stitched_from_several_sources_goes(docs):
+    rnd, rows = random.Random(9), []
+    word = lambda: "".join(rnd.choices("abcdefghijklmn", k=6))
+    for k in range(20):
+        x = [word() for _ in range(62)]
+        rows += [(3 * k, " ".join(x[:44])), (3 * k + 1, " ".join(x[20:])), (3 * k + 2, " ".join(x))]
+    got = L.dedup_lines(docs(rows)).collect()
+    assert all(r.n_deleted == 0 for r in got)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b", "x", 1, 2, "p"), (2, None, "y", 3, 4, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Words string, _key int, doc int, parts string")
+    got = L.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_key", "doc", "parts", "n_words", "n_deleted"]
+    assert sorted((r.doc_id, r._key, r.doc, r.parts, r.n_words) for r in got.collect()) == [(1, 1, 2, "p", 2), (2, 3, 4, "q", 0)]
