@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,6 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def blank_words(text: bytes) -> list[bytes]:
-    """Lower-cased runs of anything but the ASCII blanks \\x20 and \\x09-\\x0D."""
-    return text.lower().split()
-
-
 def ascii_lower(col):
     """A-Z to a-z and nothing else (`lower` would change other alphabets too)."""
     return F.translate(col, UPPER, LOWER)
@@ -67,10 +63,9 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.dir = spark, shared_dir(spark)
 
-    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Write a table, in a folder for each value of `by` if given, and read it."""
+    def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
@@ -101,12 +96,13 @@ def row_key(*cols) -> F.col:
     return F.xxhash64(*cols)
 
 
-def hashed_share(rows: DataFrame, sample: int, *cols) -> DataFrame:
+def hashed_share(rows: DataFrame, sample: int, *cols: str) -> DataFrame:
     """Between `sample` and twice as many of the rows, about (all, if fewer): those whose hash of `cols` falls into a share.
 
-    Unlike an ordered limit, tasks send no more than what is kept.
+    Of rows that agree in `cols` one is taken, so however often one repeats there are no more of them; where rows
+    repeat, there may be fewer than `sample`. Unlike an ordered limit, tasks send no more than what is kept.
     """
-    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(max(1, rows.count() // sample))) == 0)
+    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(max(1, rows.count() // sample))) == 0).dropDuplicates([*cols])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -117,24 +113,77 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered for the words of a worker; forgets all at `limit` words."""
+#: What a byte counts for in a word's hash: A-Z as a-z, else each its own 64-bit number; and the bytes that part words.
+_BYTE = mix64(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE, _PIECE = 0xD6E8FEB86659FD93, 1 << 16
+_ODD64 = 1 << 64
+
+
+def _byte_powers(known: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first _PIECE powers of the base and of its inverse, modulo 2^64."""
+    if not known:
+        known["of"] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(_PIECE - 1, np.uint64(b))]) for b in (_BASE, pow(_BASE, -1, _ODD64)))
+    return known["of"]
+
 
-    def __init__(self, limit: int = 300_000):
-        self.limit, self.known = limit, {}
+@dataclass(frozen=True)
+class Hashed:
+    """Words of some texts, one text after the other: their 64-bit hashes, words of each text, first word and words of each line that has any."""
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+    hashes: np.ndarray
+    counts: np.ndarray
+    line_starts: np.ndarray
+    line_counts: np.ndarray
 
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = digest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def hashed_words(texts: list[bytes | None]) -> Hashed:
+    """Words are runs of anything but the ASCII blanks \\x20 and \\x09-\\x0D, A-Z lower-cased; lines end at \\n; null has no words.
+
+    A word's hash comes from sums over its bytes, each times a power of the base, so that no word is made an object; a text of any
+    length is read piece by piece.
+    """
+    data = np.frombuffer(b"\n".join([t or b"" for t in texts] + [b""]), np.uint8)
+    power, inverse = _byte_powers()
+    found: list[list] = [[], [], [], [], []]
+    total, base, back, blank_before = np.uint64(0), 1, 1, True
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), _PIECE):
+            own = data[at : at + _PIECE]
+            blank = _BLANK.take(own)
+            edge = np.flatnonzero(blank != np.r_[blank_before, blank[:-1]])
+            terms = _BYTE.take(own) * power[: len(own)]
+            upto = np.cumsum(terms)
+            before = total + np.uint64(base) * (upto[edge] - terms[edge])
+            opens = ~blank[edge]
+            first = edge[opens]
+            for part, x in zip(found, (first + at, before[opens], np.uint64(back) * inverse[first], edge[~opens] + at, before[~opens]), strict=True):
+                part.append(x)
+            total, blank_before = total + np.uint64(base) * upto[-1], bool(blank[-1])
+            base, back = base * pow(_BASE, len(own), _ODD64) % _ODD64, back * pow(_BASE, -len(own), _ODD64) % _ODD64
+        first, low, unit, last, high = (np.concatenate(x) for x in found) if len(data) else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        hashes = mix64((high - low) * unit ^ mix64((last - first).astype(np.uint64)))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    upto = np.searchsorted(first, ends)
+    starts = np.unique(np.r_[0, np.searchsorted(first, np.flatnonzero(data == 10))])
+    starts = starts[starts < len(first)]
+    return Hashed(hashes, np.diff(upto, prepend=0), starts, np.diff(np.r_[starts, len(first)]))
+
+
+def word_edges(text: bytes) -> np.ndarray:
+    """Where each word of a text begins and ends, one after the other."""
+    blank = _BLANK.take(np.frombuffer(text + b"\n", np.uint8))
+    return np.flatnonzero(blank != np.r_[True, blank[:-1]])
+
+
+def word_counts(texts: list[bytes | None]) -> np.ndarray:
+    """How many words each text has; a long batch is read text by text."""
+    some = b"\n".join([t or b"" for t in texts] + [b""])
+    if len(some) > 32 << 20:
+        return np.array([len(t.split()) if t else 0 for t in texts], np.int64)
+    blank = _BLANK.take(np.frombuffer(some, np.uint8))
+    opens = np.flatnonzero(~blank & np.r_[True, blank[:-1]]) if len(blank) else blank
+    return np.diff(np.searchsorted(opens, np.cumsum([len(t or b"") + 1 for t in texts])), prepend=0).astype(np.int64)
 
 
 def pieces_of(batch, columns: Iterable[str]) -> Iterator[tuple]:

@@ -20,21 +20,16 @@ deletion), everything else is a few numbers a row.
 
 from __future__ import annotations
 
-import itertools
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, WordHashes, bounded_batches, mix64, row_key, table, without
+from .common import Shelf, bounded_batches, hashed_words, mix64, row_key, table, without, word_counts, word_edges
 
 U = np.uint64
 PRINTS = ["h", "s", "doc", "key", "at", "n"]
-#: Words are runs of anything but ASCII blanks; they are compared with A-Z lower-cased.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: How far apart a text's own repetitions begin at least in the query and the pipeline: the length of a passage.
 OWN_FAR = 50
 #: From how many words on the query deletes a line that stands earlier as a line.
@@ -116,69 +111,64 @@ def line_hashes(starts: np.ndarray, counts: np.ndarray, prefix: np.ndarray) -> n
     return mix64(mix64((prefix[starts + counts] - prefix[starts]) * _powers(len(prefix) - 1)[1][starts]) + mix64(counts.astype(U) + (U(1) << U(40))))
 
 
-class Words:
-    """Texts to words and their hashes."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        return self.hashes(words) if words else np.zeros(0, U)
-
-
-def pieces(words: list[bytes], counts: list[int], need: int):
-    """A text in parts of at most CHUNK words that share need-1 words: (place, words, places of whole lines, their word counts).
+def parts(counts: np.ndarray, need: int):
+    """(first word, word after the last, done) of parts of at most CHUNK words that together hold every window of texts of these word counts.
 
-    A line counts in the first part that holds it whole; one that no part holds is longer than any span.
+    A part is some whole texts, or a piece of a longer one that shares need-1 words with the next; done says up to where
+    the part before has read the same text.
     """
-    begins = list(itertools.accumulate(counts, initial=0))[:-1]
-    at = done = 0
-    while True:
-        end = at + CHUNK
-        own = [(b - at, n) for b, n in zip(begins, counts, strict=True) if b >= at and done < b + n <= end] if len(words) > CHUNK else zip(begins, counts, strict=True)
-        yield at, words[at:end], *(zip(*own, strict=True) if counts else ((), ()))
-        if end >= len(words):
-            return
-        at, done = end - need + 1, end
+    ends = np.cumsum(counts)
+    low = k = 0
+    while k < len(counts):
+        if counts[k] > CHUNK:
+            at = done = low
+            while True:
+                yield at, min(at + CHUNK, int(ends[k])), done
+                if at + CHUNK >= ends[k]:
+                    break
+                done, at = at + CHUNK, at + CHUNK - need + 1
+            low, k = int(ends[k]), k + 1
+            continue
+        long = counts[k:] > CHUNK
+        upto = k + (int(long.argmax()) if long.any() else len(long))
+        last = min(upto, max(k + 1, int(np.searchsorted(ends, low + CHUNK, side="right"))))
+        if ends[last - 1] > low:
+            yield low, int(ends[last - 1]), low
+        low, k = int(ends[last - 1]), last
+
+
+def prints_of(texts: list[bytes | None], k: int, w: int, line_words: int | None) -> tuple[np.ndarray, ...]:
+    """(fingerprint, hash of the whole, number of the text, first word, words) of all spans and of all lines shorter than one."""
+    need, all_, out = k + w - 1, hashed_words(texts), []
+    begins = np.cumsum(all_.counts) - all_.counts
+    line_ends = all_.line_starts + all_.line_counts
+    for a, b, done in parts(all_.counts, need):
+        h = all_.hashes[a:b]
+        prefix = _sums(h)
+        inside = np.unique(np.clip(begins[np.searchsorted(begins, a, side="left") : np.searchsorted(begins, b, side="left")], a, b) - a)
+        f, s, first, more = spans(h, k, w, inside if len(inside) and not inside[0] else np.r_[0, inside], prefix)
+        out.append((f, s, first + a, more + need))
+        if line_words is not None:
+            low, high = np.searchsorted(line_ends, (done, b), side="right")
+            start, count = all_.line_starts[low:high], all_.line_counts[low:high]
+            keep = (start >= a) & (count >= max(1, line_words)) & (count < need)
+            own = line_hashes(start[keep] - a, count[keep], prefix)
+            out.append((own, own, start[keep], count[keep]))
+    if not out:
+        return np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3
+    f, s, first, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    text = np.searchsorted(begins, first, side="right") - 1
+    return f, s, text, first - begins[text], n
 
 
 def fingerprints(docs: DataFrame, k: int, w: int, line_words: int | None) -> DataFrame:
     """(h, s, doc, key, at, n) of every span and of every line shorter than one: fingerprint, hash of the whole, first word, words."""
-    need = k + w - 1
-
-    def made(held, hashes):
-        """Rows of some texts' parts: (doc, key, place, words, places of lines, their word counts)."""
-        h = hashes([x for part in held for x in part[3]])
-        sizes = np.array([len(part[3]) for part in held])
-        starts, prefix = np.cumsum(sizes) - sizes, _sums(h)
-        f, s, first, more = spans(h, k, w, starts[sizes > 0], prefix)
-        n = more + need
-        if line_words is not None:
-            counts = np.array([c for part in held for c in part[5]], np.int64)
-            begin = np.array([b for part in held for b in part[4]], np.int64) + np.repeat(starts, [len(part[4]) for part in held])
-            keep = (counts >= max(1, line_words)) & (counts < need)
-            own = line_hashes(begin[keep], counts[keep], prefix)
-            f, s, first, n = (np.concatenate(x) for x in ((f, own), (s, own), (first, begin[keep]), (n, counts[keep])))
-        part = np.searchsorted(starts, first, side="right") - 1
-        doc, key, place = (np.array([x[i] for x in held], np.int64) for i in range(3))
-        return [pa.array(x) for x in (f.view(np.int64), s.view(np.int64), doc[part], key[part], (first - starts[part] + place[part]).astype(np.int32), n.astype(np.int32))]
 
     def scan(batches):
-        hashes = WordHashes()
         for batch in batches:
-            held, size = [], 0
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = [line.split() for line in text.lower().split(b"\n")] if text else []
-                for part in pieces([x for line in lines for x in line], [len(x) for x in lines], need):
-                    if held and size + len(part[1]) > CHUNK:
-                        yield pa.RecordBatch.from_arrays(made(held, hashes), names=PRINTS)
-                        held, size = [], 0
-                    if part[1]:
-                        held.append((doc, key, *part))
-                        size += len(part[1])
-            if held:
-                yield pa.RecordBatch.from_arrays(made(held, hashes), names=PRINTS)
+            f, s, text, first, n = prints_of(batch.column(2).to_pylist(), k, w, line_words)
+            cols = [f.view(np.int64), s.view(np.int64), *(batch.column(i).to_numpy()[text] for i in range(2)), first.astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=PRINTS)
 
     return docs.select("__w_doc", "__w_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, s long, doc long, key long, at int, n int")
 
@@ -190,12 +180,17 @@ def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
     need = k + w - 1
 
     def cut(batches):
-        words = Words()
         for batch in batches:
-            for doc, key, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                g = rolling(words(text), need)
-                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"] - need + 1, dtype=np.int32) for p in places])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[at].view(np.int64), np.full(len(at), doc), np.full(len(at), key), at)], names=["g", "doc", "key", "at"])
+            words = hashed_words(batch.column(2).to_pylist())
+            places, out, begin = batch.column(3).to_pylist(), [], 0
+            for n, own in zip(words.counts.tolist(), places, strict=True):
+                g = rolling(words.hashes[begin : begin + n], need)
+                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"] - need + 1, dtype=np.int32) for p in own])
+                out.append((g[at].view(np.int64), at))
+                begin += n
+            text = np.repeat(np.arange(len(out)), [len(x[1]) for x in out])
+            cols = [np.concatenate([x[0] for x in out]), *(batch.column(i).to_numpy()[text] for i in range(2)), np.concatenate([x[1] for x in out])] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["g", "doc", "key", "at"])
 
     return full.select("doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
 
@@ -203,10 +198,11 @@ def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
 def regions(docs: DataFrame, shelf: Shelf, k: int, w: int, far: int, line_words: int | None, slices: int) -> DataFrame:
     """Per document with copied words: doc, key and parts, structs (a, b) of the words to delete, b exclusive."""
     need, copied = k + w - 1, None
-    prints = shelf.put(fingerprints(docs, k, w, line_words).withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")), "prints", "slice")
+    prints = shelf.put(fingerprints(docs, k, w, line_words), "prints")
     for j in range(slices):
-        part = prints.where(F.col("slice") == j).select(*PRINTS)
-        again = part.groupBy("h").count().where("count > 1")
+        part = prints.where(F.pmod("h", F.lit(slices)) == j)
+        # what is joined to is a plain table, so that the join can split a hot fingerprint
+        again = shelf.put(part.groupBy("h").count().where("count > 1").select("h"), f"again{j}")
         part = shelf.put(part.join(again, "h", "left_semi"), f"copied{j}")
         copied = part if copied is None else copied.unionByName(part)
         shelf.settle()
@@ -218,17 +214,17 @@ def regions(docs: DataFrame, shelf: Shelf, k: int, w: int, far: int, line_words:
     first = shelf.put(copied.groupBy("h", "s").agg(low), "first")
     whole = F.when(F.col("n") < need, ~same | (F.col("at") > F.col("low.at"))).otherwise(apart)
     known = shelf.put(copied.join(first, ["h", "s"]).select("h", "doc", "key", "at", "n", whole.alias("whole")), "known")
-    several = first.groupBy("h").count().where("count > 1")
+    several = shelf.put(first.groupBy("h").count().where("count > 1").select("h"), "several")
     asked = shelf.put(known.where("NOT whole").join(several, "h", "left_semi").select("doc", "key", "at", "n"), "asked")
-    shelf.drop("first", *[f"copied{j}" for j in range(slices)])
+    shelf.drop("first", "several", *[f"{t}{j}" for j in range(slices) for t in ("copied", "again")])
     shelf.settle()
     windows = shelf.put(_windows(docs, asked, k, w), "windows")
     shelf.settle()
-    twice = windows.groupBy("g").agg(low, F.count("*").alias("times")).where("times > 1")
+    twice = shelf.put(windows.groupBy("g").agg(low, F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
     single = windows.join(twice, "g").where(apart).select("doc", "key", F.col("at").alias("a"), (F.col("at") + need).alias("b"))
     found = known.where("whole").select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")).unionByName(single)
     found = shelf.put(found.groupBy("doc", "key").agg(F.collect_set(F.struct("a", "b")).alias("parts")), "regions")  # bounded by the document's words
-    shelf.drop("known", "asked", "windows")
+    shelf.drop("known", "asked", "windows", "twice")
     shelf.settle()
     return found
 
@@ -246,11 +242,11 @@ def merged(parts: list) -> list[tuple[int, int]]:
 
 def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The text without these words; what stood around a deleted range is joined by one line break or blank."""
-    spans = [m.span() for m in WORD.finditer(text)]
+    edges = word_edges(text)
     out, at = [], 0
     for a, b in ranges:
-        out.append(text[at : spans[a][0]])
-        at = spans[b - 1][1]
+        out.append(text[at : edges[2 * a]])
+        at = int(edges[2 * b - 1])
     out.append(text[at:])
     kept = [out[0]]
     for x in out[1:]:
@@ -263,7 +259,7 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), sum(b - a for a, b in ranges)
 
 
-def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = None, line_words: int | None = None, slices: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = None, line_words: int | None = None, slices: int = 2) -> DataFrame:
     """Every row and column of `docs` (`doc_id`, `text`), text without passages of k+w-1 words or more that stand earlier and
     without lines of `line_words` words or more that stand earlier as lines (none unless given), and
 
@@ -288,15 +284,14 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = Non
 
     def delete(batches):
         for batch in batches:
-            texts, total, gone = [], [], []
-            for text, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                ranges = merged(own) if own else []
-                new, n = cut_words(text, ranges) if ranges else (text, 0)
-                texts.append(new)
-                total.append(len(text.split()) if text else 0)
-                gone.append(n)
-            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_deleted"])
+            texts, gone = batch.column(at).cast(pa.binary()).to_pylist(), [0] * len(batch)
+            total = word_counts(texts)
+            for i, own in enumerate(batch.column(len(names)).to_pylist()):
+                if own:
+                    texts[i], gone[i] = cut_words(texts[i], merged(own))
+            new = pa.array(texts, pa.binary()).cast(pa.string()) if any(gone) else batch.column(at)
+            cols = [new if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_deleted"])
 
     return full.mapInArrow(delete, T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_deleted", T.LongType())]))
 

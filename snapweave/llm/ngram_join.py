@@ -13,21 +13,25 @@ against one centre only, in a few turns with a new centre each; then classes of
 components, and only those, are compared with each other. Sizes and 512-bit sketches go before n-grams. So a bucket of
 copies costs about as many comparisons as it has classes, and no link between components is lost.
 
-Scale: two scans of the texts; buckets hold two numbers a row; texts are shuffled only for classes that have a
-candidate. Nothing that grows with the data is collected: the driver gets counts, and at most `hot` frequent n-grams.
+Scale: two scans of the texts; buckets hold two numbers a row and are met in slices; one shuffle of the texts keeps those
+of classes that have a candidate. Nothing that grows with the data is collected: the driver gets counts, and at most `hot` frequent n-grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, WordHashes, blank_words, bounded_batches, mix64, row_key, table
+from .common import Shelf, bounded_batches, hashed_words, mix64, row_key, table, without
 from .components import components
 
 U = np.uint64
+#: Bytes of texts whose words are hashed together.
+GROUP_BYTES = 4 << 20
 BITS = 512
 SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 SCAN = ", ".join(["kind int, doc_id long, key long, cls long, size int", *(f"{c} long" for c in (*SKETCH, "token", "n"))])
@@ -39,19 +43,37 @@ class Shingler:
     """Texts to sorted arrays of their distinct n-grams' hashes."""
 
     def __init__(self, n: int):
-        self.n, self.hashes = n, WordHashes()
+        self.n = n
         self.factors = mix64(np.arange(1, n + 1, dtype=U)) | U(1)
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = blank_words(text) if text else []
-        if not words:
+    def grams(self, h: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n consecutive words."""
+        if len(h) < n:
             return np.zeros(0, U)
-        h = self.hashes(words)
-        n = min(self.n, len(words))
-        total = np.full(len(words) - n + 1, U(n))
+        total = np.full(len(h) - n + 1, U(n))
         for i in range(n):
-            total = total * self.factors[i] + mix64(h[i : len(words) - n + 1 + i] ^ self.factors[i])
-        return np.unique(mix64(total))
+            total = total * self.factors[i] + mix64(h[i : len(h) - n + 1 + i] ^ self.factors[i])
+        return mix64(total)
+
+    def many(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The sets of some texts, whose words are hashed together."""
+        low, size = 0, 0
+        for k, text in enumerate(texts):
+            if size and size + len(text or b"") > GROUP_BYTES:
+                yield from self._some(texts[low:k])
+                low, size = k, 0
+            size += len(text or b"")
+        yield from self._some(texts[low:])
+
+    def _some(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        words = hashed_words(texts)
+        all_, begin = self.grams(words.hashes, self.n), 0
+        for count in words.counts.tolist():
+            if count >= self.n:
+                yield np.unique(all_[begin : begin + count - self.n + 1])
+            else:
+                yield self.grams(words.hashes[begin : begin + count], count) if count else np.zeros(0, U)
+            begin += count
 
 
 def most_differing(a: int, b: int, num: int, den: int) -> int:
@@ -128,8 +150,7 @@ def _scan(docs: DataFrame, n: int, frequent: int) -> DataFrame:
                     rows.extend((1, *[None] * (4 + len(SKETCH)), int(t), int(c)) for t, c in zip(token[often].view(np.int64), count[often], strict=True))
                     held.clear()
 
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = shingle(text)
+            for doc, key, tokens in zip(*(batch.column(i).to_pylist() for i in range(2)), shingle.many(batch.column(2).to_pylist()), strict=True):
                 if not len(tokens):
                     rows.append((0, doc, key, None, 0, *[None] * (len(SKETCH) + 2)))
                     continue
@@ -145,7 +166,7 @@ def _scan(docs: DataFrame, n: int, frequent: int) -> DataFrame:
             tally()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCAN_KINDS, strict=True)], names=SCAN_NAMES) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in SCAN_KINDS], names=SCAN_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "_key", F.col("text").cast("binary")).mapInArrow(scan, SCAN)
+    return docs.select(F.col("doc_id").cast("long"), "key", F.col("text").cast("binary")).mapInArrow(scan, SCAN)
 
 
 def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level: np.ndarray) -> DataFrame:
@@ -156,8 +177,7 @@ def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level:
         shingle, seen, (hot, level) = Shingler(n), set(), shared.value
         for batch in batches:
             keys, classes = [], []
-            for text in batch.column(0).to_pylist():
-                tokens = shingle(text)
+            for tokens in shingle.many(batch.column(0).to_pylist()):
                 if not len(tokens) or (cls := class_of(tokens)) in seen:
                     continue
                 if len(seen) > 2_000_000:
@@ -176,11 +196,11 @@ def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level:
 class Join:
     """One run of the join: its threshold, its tables."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, hot: int):
-        self.spark, self.n, self.num, self.den, self.hot = docs.sparkSession, n, num, den, hot
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, hot: int, slices: int):
+        self.spark, self.n, self.num, self.den, self.hot, self.slices = docs.sparkSession, n, num, den, hot, slices
         bounded_batches(self.spark)
         self.shelf = Shelf(self.spark)
-        self.docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
+        self.docs = docs.select(F.col("doc_id"), F.col("text"), row_key("doc_id", "text").alias("key"))
 
     def scan(self) -> None:
         seen = self.shelf.put(_scan(self.docs, self.n, frequent=8), "scan")
@@ -195,36 +215,42 @@ class Join:
         self.hot_tokens, self.hot_level = tokens[order], np.log2(np.array([c for _, c in top], float)).astype(np.int64)[order] + 1
 
     def candidates(self) -> None:
-        """`members`: rows (bucket, cls) of the buckets with more than one class."""
-        rows = self.shelf.put(_bucket_rows(self.docs, self.n, Bands(self.num, self.den), self.hot_tokens, self.hot_level), "buckets")
-        shared = rows.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
-        shared = self.shelf.put(shared, "shared")
-        self.shelf.settle()
-        self.members = self.shelf.put(rows.join(shared, "bucket").distinct(), "members")
-        self.shelf.drop("buckets", "shared")
+        """`members`: rows (bucket, cls) of the buckets with more than one class; `texts`: a text for each of their classes.
+
+        Buckets are met in slices of their hashes one after the other, so what is shuffled at a time is a share of all rows.
+        """
+        rows = _bucket_rows(self.docs, self.n, Bands(self.num, self.den), self.hot_tokens, self.hot_level)
+        rows = self.shelf.put(rows, "buckets")
+        self.members = None
+        for j in range(self.slices):
+            part = rows.where(F.pmod("bucket", F.lit(self.slices)) == j)
+            shared = part.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
+            shared = self.shelf.put(shared, f"shared{j}")  # a plain table, so that the join can split a hot bucket
+            part = self.shelf.put(part.join(shared, "bucket", "left_semi").distinct(), f"members{j}")
+            self.shelf.drop(f"shared{j}")
+            self.members = part if self.members is None else self.members.unionByName(part)
+            self.shelf.settle()
+        self.shelf.drop("buckets")
+        keys = self.members.select("cls").distinct().join(self.classes.select("cls", "key"), "cls")
+        texts = self.docs.select("key", F.col("text").cast("binary").alias("text")).join(keys, "key").dropDuplicates(["cls"])
+        self.texts = self.shelf.put(texts.select("cls", "text"), "texts")
         self.shelf.settle()
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """`pairs` (a, b) by their n-grams: (a, b, linked)."""
         pairs = self.shelf.put(pairs, f"{name}-pairs")
         needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        keys = needed.join(self.classes.select("cls", "key"), "cls")
-        texts = self.docs.select(F.col("_key").alias("key"), "text").join(keys, "key").dropDuplicates(["cls"]).select("cls", F.col("text").cast("binary").alias("text"))
-        texts = self.shelf.put(texts, f"{name}-texts")
-        self.shelf.settle()
+        texts = self.shelf.put(self.texts.join(needed, "cls", "left_semi"), f"{name}-texts")
         full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
         n, num, den = self.n, self.num, self.den
 
         def compare(batches):
-            shingle, kept = Shingler(n), {}
+            shingle, last, x = Shingler(n), None, None
             for batch in batches:
                 out = []
-                for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    if a not in kept:
-                        if len(kept) > 16:
-                            kept.clear()
-                        kept[a] = shingle(ta)
-                    x, y = kept[a], shingle(tb)
+                for a, b, ta, y in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle.many(batch.column(3).to_pylist()), strict=True):
+                    if a != last:
+                        last, x = a, next(shingle.many([ta]))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     out.append((a, b, den * both >= num * (len(x) + len(y) - both)))
                 if out:
@@ -295,7 +321,7 @@ class Join:
         return self.rows.join(named, "cls", "left").select("doc_id", "key", F.col("cls").alias("class_id"), F.col("c").alias("component"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot: int = 20_000) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot: int = 20_000, slices: int = 3) -> DataFrame:
     """One row per row of `docs` (`doc_id`, `text`): doc_id, key, class_id, component, n_shingles, component_id.
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased; a document's set is its distinct n-grams of
@@ -304,20 +330,24 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot:
     included (null ids are passed over, and a component of none but null ids has null). Without words the set is empty, class_id and component null,
     and the document linked with nothing. key is the hash of (doc_id, text) by which rows are told apart. Sets are compared by 64-bit hashes.
     """
-    return Join(docs, n, num, den, hot).run()
+    return Join(docs, n, num, den, hot, slices).run()
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each component of `docs` the row of the smallest (doc_id, key) only, with all its columns.
 
-    Rows without words stay, all of them; of rows that agree in doc_id and text one stays. A null id comes last.
+    Rows without words stay, all of them; of rows that agree in doc_id and text one stays. A null id comes last. Rows are told
+    apart by doc_id and the hash of both. Columns whose names begin with `__w_` are reserved and dropped.
     """
+    docs = without(docs)
     found = ngram_join(docs, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    kept = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    wordless = keyed.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(wordless).drop("_key")
+    least = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("m"))
+    kept = least.select(F.col("m.key").alias("__w_key"), F.coalesce("m.doc_id", F.lit(0)).alias("__w_id"))
+    keyed = docs.withColumn("__w_key", row_key("doc_id", "text")).withColumn("__w_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.where(~wordless).join(kept, ["__w_key", "__w_id"], "left_semi").dropDuplicates(["__w_key", "__w_id"])
+    return one.select(*docs.columns).unionByName(docs.where(wordless))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

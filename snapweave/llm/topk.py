@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_share, table
+from .common import Shelf, bounded_batches, hashed_share, table
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -123,17 +123,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 24, sample: in
     for r in seen:
         by_dim.setdefault(len(r.embedding), []).append(r)
     samples = {d: (np.array([r.vec_id for r in rs]), quantised([r.embedding for r in rs])) for d, rs in by_dim.items()}
-    found = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        part = _block(good, own.collect(), samples, k, pivots, rows)
+    shelf, found = Shelf(spark), None
+    for b in range(blocks):  # one after the other: the driver and the tasks hold one block at a time
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast(_searches(own.collect(), samples, k, pivots))
+        part = shelf.put(_block(good, shared, rows), f"block{b}")
+        shared.unpersist()
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _block(good: DataFrame, queries: list, samples: dict, k: int, pivots: int, rows: int) -> DataFrame:
-    """Each task's best candidates for one block of queries."""
+def _searches(queries: list, samples: dict, k: int, pivots: int) -> dict[int, Search]:
+    """A block of queries by dimension, each with the k-th score that the sample reaches."""
     made = {}
     for d in {len(r.embedding) for r in queries}:
         own = [r for r in queries if len(r.embedding) == d]
@@ -143,7 +145,11 @@ def _block(good: DataFrame, queries: list, samples: dict, k: int, pivots: int, r
             s.offer(ids, points)
             s.best = [[] for _ in own]  # every task meets its own candidates anew; only the k-th scores stay
         made[d] = s
-    shared = good.sparkSession.sparkContext.broadcast(made)
+    return made
+
+
+def _block(good: DataFrame, shared, rows: int) -> DataFrame:
+    """Each task's best candidates for one block of queries."""
 
     def search(batches):
         import copy

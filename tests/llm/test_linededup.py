@@ -89,18 +89,16 @@ def test_texts_side_by_side_have_their_own_spans():
 
 
 def test_long_texts_come_in_parts(monkeypatch):
-    monkeypatch.setattr(L, "CHUNK", 128)
     rnd = random.Random(7)
-    counts = [rnd.randrange(0, 60) for _ in range(40)]
-    words = [b"%d" % i for i in range(sum(counts))]
-    lines, covered = [], set()
-    for at, part, begins, own in L.pieces(words, counts, 50):
-        assert part == words[at : at + 128]
-        covered |= {(at + i) for i in range(len(part) - 49)}
-        lines += [(at + b, n) for b, n in zip(begins, own, strict=True)]
-    begins = np.cumsum([0, *counts])[:-1].tolist()
-    short = {(b, n) for b, n in zip(begins, counts, strict=True) if 0 < n < 50}
-    assert covered == set(range(len(words) - 49)) and short <= set(lines) and sorted(x for x in lines if x[1]) == sorted(set(x for x in lines if x[1]))
+    texts = [None, b"", b"\n".join(b" ".join(b"%d" % rnd.randrange(50) for _ in range(rnd.randrange(60))) for _ in range(40)), b"a b", b"x " * 127, b"y " * 500 + b"\n" + b"z " * 20, b"z " * 20]
+    whole = L.prints_of(texts, 26, 25, 5)
+    monkeypatch.setattr(L, "CHUNK", 128)
+    cut = L.prints_of(texts, 26, 25, 5)
+    windows = lambda rows: sorted((t, a + i) for _, _, t, a, n in rows if n >= 50 for i in range(n - 49))
+    lines = lambda rows: sorted((h, t, a, n) for h, _, t, a, n in rows if n < 50)
+    one, many = (list(zip(*(x.tolist() for x in found), strict=True)) for found in (whole, cut))
+    assert set(windows(one)) == set(windows(many)) and lines(one) == lines(many) and len(lines(one)) > 10
+    assert len(windows(one)) == sum(max(0, len((t or b"").split()) - 49) for t in texts)
 
 
 def test_edited_and_cut_earlier_copies(docs):
