@@ -20,8 +20,10 @@ def test_stages_catch_planted_rows_and_keep_clean_ones(spark, tmp_path):
             t += " idiot moron idiot"
         rows.append((k, t))
         labels.append((k, int(k % 6 == 0)))
-    base = text(45)
-    rows += [(1000, base), (1001, base.replace(base.split()[20], "changed")), (1002, passage + " " + text(20)), (1003, text(20) + " " + passage), (1004, text(9) + " " + item + "."), (1005, "you idiot, you moron " + text(20)), (1006, ""), (1007, rows[1][1])]
+    # one word of 60 changed leaves 51 of 61 five-grams (0.836), one of 45 only 36 of 46 (0.783, below the threshold)
+    base, less = text(60), text(45)
+    changed = lambda t, k: " ".join(w if i != k else "changed" for i, w in enumerate(t.split()))
+    rows += [(1000, base), (1001, changed(base, 20)), (1008, less), (1009, changed(less, 20)), (1002, passage + " " + text(20)), (1003, text(20) + " " + passage), (1004, text(9) + " " + item + "."), (1005, "you idiot, you moron " + text(20)), (1006, ""), (1007, rows[1][1])]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -38,6 +40,7 @@ def test_stages_catch_planted_rows_and_keep_clean_ones(spark, tmp_path):
     assert not {k for k in kept["toxicity"] if k < 300 and k % 6 == 0} and 1005 not in kept["toxicity"]
     assert kept["line_dedup"][1002] == dict(rows)[1002] and len(kept["line_dedup"][1003].split()) == 20
     assert 1001 in kept["line_dedup"] and 1001 not in kept["ngram_join"] and 1000 in kept["ngram_join"] and 1007 not in kept["ngram_join"]
+    assert {1008, 1009} <= set(kept["ngram_join"])
     assert 1004 in kept["ngram_join"] and 1004 not in kept["decontaminate"] and 1006 in kept["decontaminate"]
     got = cp.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == set(kept["decontaminate"])
