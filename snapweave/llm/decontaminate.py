@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, alnum_words, bounded_batches, row_key
-
+from .common import Shelf, alnum_words, bounded_batches, row_key, without
 
 
 class Table:
@@ -77,6 +76,23 @@ def build(items: list[tuple], window: int, nameless: bool = False) -> list[Table
     return [Table(n, by_length[n]) for n in sorted(by_length)]
 
 
+def merge(ranges) -> tuple[list, list]:
+    """Starts and ends of ranges, with those that touch made one."""
+    starts, ends = [], []
+    for first, end in sorted(ranges):
+        if ends and first <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(first)
+            ends.append(end)
+    return starts, ends
+
+
+def in_order(items) -> list:
+    """Distinct ids as strings, sorted, null last."""
+    return sorted(set(items), key=lambda x: (x is None, x or ""))
+
+
 def scan(text: bytes | None, tables: list[Table]) -> tuple[int, list, list, list]:
     """Words, merged hit ranges and the items hit in one text."""
     words = alnum_words(text) if text else []
@@ -85,14 +101,7 @@ def scan(text: bytes | None, tables: list[Table]) -> tuple[int, list, list, list
         for first, end, owners in t.search(words):
             found.append((first, end))
             items.update(owners)
-    starts, ends = [], []
-    for first, end in sorted(found):
-        if ends and first <= ends[-1]:
-            ends[-1] = max(ends[-1], end)
-        else:
-            starts.append(first)
-            ends.append(end)
-    return len(words), starts, ends, sorted(items, key=lambda x: (x is None, x or ""))
+    return len(words), *merge(found), in_order(items)
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int):
@@ -105,20 +114,48 @@ def item_blocks(benchmark: DataFrame, block_bytes: int):
         yield n, [(r.item, r.text) for r in part.collect()]
 
 
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_starts", T.ArrayType(T.LongType())), T.StructField("hit_ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+
+
 def _pass(docs: DataFrame, items: list[tuple], window: int, nameless: bool) -> DataFrame:
-    """`docs` with n_words, _starts, _ends and _items; a narrow map."""
+    """`docs` with the columns of FOUND; a narrow map."""
     tables = docs.sparkSession.sparkContext.broadcast(build(items, window, nameless))
-    longs, strings = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
-    schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("_starts", longs), ("_ends", longs), ("_items", strings)))])
+    at = [c.lower() for c in docs.columns].index("text")
 
     def search(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            found = [scan(t, tables.value) for t in texts]
-            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(batch.columns + cols, names=batch.schema.names + ["n_words", "_starts", "_ends", "_items"])
+            found = [scan(t, tables.value) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(KINDS)]
+            yield pa.RecordBatch.from_arrays(batch.columns + cols, names=batch.schema.names + FOUND.names)
+
+    return docs.mapInArrow(search, T.StructType([*docs.schema, *FOUND]))
+
+
+def _in_blocks(docs: DataFrame, blocks, window: int, nameless: bool) -> DataFrame:
+    """The same with one pass over distinct (doc_id, text) for each block of items, whose hits are merged."""
+    shelf, parts = Shelf(docs.sparkSession), None
+    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__w_id"), row_key("doc_id", "text").alias("__w_key")]
+    keyed = docs.select("*", *same)
+    slim = keyed.select("__w_id", "__w_key", "text").dropDuplicates(["__w_id", "__w_key"])
+    for k, (_, items) in enumerate(blocks):
+        part = _pass(slim, items, window, nameless).where(F.size("items") > 0).drop("text")
+        part = shelf.put(part.select("__w_id", "__w_key", F.struct("hit_starts", "hit_ends", "items").alias("__w_hits")), f"block{k}")
+        parts = part if parts is None else parts.unionByName(part)
+    merged = parts.groupBy("__w_id", "__w_key").agg(F.collect_list("__w_hits").alias("__w_hits"))  # a struct for each block at most
+    full = keyed.join(merged, ["__w_id", "__w_key"], "left").select(*[keyed[c] for c in docs.columns], "__w_hits")
+    at, own = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
+
+    def finish(batches):
+        for batch in batches:
+            found = []
+            for text, hits in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(own).to_pylist(), strict=True):
+                ranges = [r for h in hits or () for r in zip(h["hit_starts"], h["hit_ends"], strict=True)]
+                found.append((len(alnum_words(text)) if text else 0, *merge(ranges), in_order(x for h in hits or () for x in h["items"])))
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(KINDS)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:own] + cols, names=batch.schema.names[:own] + FOUND.names)
 
-    return docs.mapInArrow(search, schema)
+    return full.mapInArrow(finish, T.StructType([*docs.schema, *FOUND]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, nameless: bool = False) -> DataFrame:
@@ -130,32 +167,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     A null or empty text has no words and no hits. Rows that repeat an id are scanned one by one.
     Items without words match nothing, nor do those without id unless `nameless`; then they count as one item and
     `items` ends with a null where any is hit. An empty benchmark gives no hits. Columns of `docs`
-    named like an output column are replaced by it; others stay as they are.
+    named like an output column, in any case, are replaced; names that begin with `__w_` are reserved and such columns dropped.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    out = ["n_words", "hit_starts", "hit_ends", "items", "n_hit"]
-    docs = docs.drop(*[c for c in docs.columns if c in out or c in ("_starts", "_ends", "_items", "_key")])
+    bounded_batches(docs.sparkSession)
+    docs = without(docs, *FOUND.names, "n_hit")
     blocks = item_blocks(benchmark, block_bytes)
     n, items = next(blocks)
-    if n == 1:
-        hits = _pass(docs, items, window, nameless)
-    else:
-        shelf = Shelf(spark)
-        keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-        slim, parts = keyed.select("doc_id", "text", "_key").dropDuplicates(["_key"]), None
-        for k, (_, items) in enumerate(_chain((n, items), blocks)):
-            part = shelf.put(_pass(slim, items, window, nameless).where(F.size("_items") > 0).select("_key", "_starts", "_ends", "_items"), f"block{k}")
-            parts = part if parts is None else parts.unionByName(part)
-        merged = parts.groupBy("_key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("_starts", "_ends", "_items")])
-        hits = _pass(keyed, [], window, nameless).drop("_starts", "_ends", "_items").join(merged, "_key", "left").drop("_key")
-        ranges = F.array_sort(F.arrays_zip("_starts", "_ends"))
-        step = lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["_ends"] >= r["_starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["_starts"].alias("_starts"), F.greatest(F.element_at(acc, -1)["_ends"], r["_ends"]).alias("_ends"))))).otherwise(F.concat(acc, F.array(r)))
-        ranges = F.aggregate(ranges, F.array().cast("array<struct<_starts:bigint,_ends:bigint>>"), step)
-        none = F.array().cast("array<bigint>")
-        hits = hits.withColumn("_r", ranges).select("*", F.coalesce("_r._starts", none).alias("_s"), F.coalesce("_r._ends", none).alias("_e"), F.coalesce(F.array_sort(F.array_distinct("_items")), F.array().cast("array<string>")).alias("_i")).drop("_r", "_starts", "_ends", "_items").withColumnsRenamed({"_s": "_starts", "_e": "_ends", "_i": "_items"})
-    length = F.aggregate(F.zip_with("_ends", "_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return hits.withColumn("n_hit", length).withColumnsRenamed({"_starts": "hit_starts", "_ends": "hit_ends", "_items": "items"})
+    hits = _pass(docs, items, window, nameless) if n == 1 else _in_blocks(docs, _chain((n, items), blocks), window, nameless)
+    length = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return hits.withColumn("n_hit", length)
 
 
 def _chain(first, rest):

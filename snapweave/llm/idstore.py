@@ -9,7 +9,7 @@ A store is a folder: `dictionary` (raw zstandard dictionary, may be empty) and `
 
 (all little-endian), so one short document is read by two small reads, without its neighbours.
 
-Scale: documents are range-partitioned and sorted by (doc_id, text's hash), so ids repeated in a third
+Scale: documents are range-partitioned and sorted by (doc_id, text's hash, row), so ids or whole rows repeated in a third
 of the rows still spread; a task streams its documents into files of about `file_bytes`. Files are
 named by task attempt; the manifest of the attempts that succeeded says which files count, so lost or
 repeated tasks leave at worst unused files. The dictionary's sample is about `sample` documents.
@@ -169,8 +169,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    ranged = hashed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    # the row's number comes last, so rows that agree in everything are dealt out too
+    hashed = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = hashed.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     return Shelf(spark).put(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mix64, table
+from .common import bounded_batches, mix64, table, without
 
+#: What may be a letter; fractions, roman and circled numbers are here too.
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes but letters become blanks.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,6 +46,10 @@ def codebook(n: int) -> np.ndarray:
     return best[1]
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def letter_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_LETTERS).split()
 
@@ -106,7 +111,7 @@ class Model:
         """(language, score, ambiguous) of each text; words are met in groups of about 200,000."""
         out, held, size = [], [], 0
         for t in texts:
-            held.append(letter_words(t) if t and self.languages and LETTER.search(t) else None)
+            held.append(letter_words(t) if t and self.languages and has_letter(t) else None)
             size += len(held[-1] or ())
             if size > 200_000:
                 out += self._decode(held)
@@ -147,20 +152,20 @@ def train(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 300, rate
 def learn(docs: DataFrame, learnable: Column, per_language: int = 200, dims: int = 4096) -> Model:
     """A model from at most about `per_language` rows of `docs` (`doc_id`, `text`, `lang`) of each language.
 
-    The rows are those whose content hash falls into a share of 1 / (rows / per_language); a language with fewer
-    rows gives all of them. Null texts, texts without letters and null languages teach nothing.
+    The rows are those whose content hash falls into a share of 1 / (rows / per_language), each once however often it
+    repeats; a language with fewer rows gives all of them. Null texts, texts without letters and null languages teach nothing.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros((dims, 0)), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(max(1, n // per_language))) for lang, n in sorted(counts.items())])
-    picked = usable.withColumn("_share", share).where(F.pmod(F.xxhash64("doc_id", "text"), F.col("_share")) == 0)
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // per_language))]), F.col("lang")), F.lit(1))
+    picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), share) == 0).select("doc_id", "text", "lang").dropDuplicates()
 
     def featurise(batches):
         for batch in batches:
-            rows = [(lang, features(text, dims).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if LETTER.search(text)]
+            rows = [(lang, features(text, dims).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
     rows = sorted((r.lang, bytes(r.x)) for r in picked.select("lang", "text").mapInArrow(featurise, "lang string, x binary").collect())
@@ -176,17 +181,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Every row and column of `docs` (which must have `text`), and lang_pred string, score double, ambiguous boolean.
 
     A null text, or one without a letter, is `und` with score 0; so is every text for a model without
-    languages. Equal texts get equal results. Columns of `docs` named like an output column are replaced.
+    languages. Equal texts get equal results. Columns of `docs` named like an output column, in any case, are replaced;
+    names that begin with `__w_` are reserved and such columns dropped.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = without(docs, "lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
 
+    at = [c.lower() for c in docs.columns].index("text")
+
     def predict(batches):
         own = shared.value
         for batch in batches:
-            found = own.predict_all(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            found = own.predict_all(batch.column(at).to_pylist())
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(batch.columns + cols, names=batch.schema.names + [f.name for f in added])
 

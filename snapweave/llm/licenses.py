@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_WORD, UPPER, table
+from .common import LOWER, NON_WORD, UPPER, table, without
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def ascii_words(text):
 
 def document_counts(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many rows each word of `vocabulary` stands; one row per word reaches the driver."""
-    own = F.array_distinct(F.filter("_words", lambda w: w.isin(vocabulary)))
+    own = F.array_distinct(F.filter("__w_words", lambda w: w.isin(vocabulary)))
     counts = words.select(F.explode(own).alias("w")).groupBy("w").count()
     return {r["w"]: r["count"] for r in counts.collect()}
 
@@ -101,10 +101,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
     of its rare words that stand there.
 
     The first `base` templates are found at every place. Null and empty texts have no words and no hits.
-    Rows are independent: repeated rows get equal results. Columns named like an output column are replaced.
+    Rows are independent: repeated rows get equal results. Columns named like an output column, in any case, are
+    replaced; names that begin with `__w_` are reserved and such columns dropped.
     """
-    docs = docs.drop("n_words", "license_hits", "_words", "_seen", "_votes", "_text", "_hits")
-    split = docs.withColumn("_words", ascii_words(F.coalesce("text", F.lit(""))))
+    docs = without(docs, "n_words", "license_hits")
+    split = docs.withColumn("__w_words", ascii_words(F.coalesce("text", F.lit(""))))
     vocabulary = sorted({w for t in templates for w in t.words})
     postings = index(templates, document_counts(split, vocabulary))
     rare = [len({w for w in t.words if any(p == i for p, _ in postings.get(w, ()))}) for i, t in enumerate(templates)]
@@ -115,20 +116,20 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
     keys = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, w)).alias("w")) for i, w in t.key_places()]) for t in templates])
     labels = F.array(*[F.lit(t.label) for t in templates])
 
-    seen = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(sorted(postings)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    votes = F.array_sort(F.flatten(F.transform("_seen", lambda s: F.transform(F.element_at(by_word, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at"))))))
-    v = F.col("_votes")
+    seen = F.filter(F.transform("__w_words", lambda w, i: F.when(w.isin(sorted(postings)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    votes = F.array_sort(F.flatten(F.transform("__w_seen", lambda s: F.transform(F.element_at(by_word, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at"))))))
+    v = F.col("__w_votes")
+    # equal votes stand in a row, so the first of them sees by its place how many there are
+    equal = lambda x, i: F.coalesce(F.get(v, i) == x, F.lit(False))
+    n_votes = lambda x, i: sum(((F.lit(j) < F.get(totals, x["t"])) & equal(x, i + j)).cast("int") for j in range(max(rare, default=0)))
+    stands = lambda x: F.forall(F.get(keys, x["t"]), lambda k: (x["at"] + k["i"] >= 0) & (F.slice("__w_words", F.greatest(x["at"] + k["i"] + 1, F.lit(1)), F.size(k["w"])) == k["w"]))
+    hit = lambda x, i: F.struct(F.get(labels, x["t"]).alias("label"), (x["t"] < base).alias("base"), x["at"].alias("start"), F.least(F.lit(1.0), n_votes(x, i) / F.get(totals, x["t"])).alias("share"))
     first = lambda x, i: (i == 0) | (F.get(v, i - 1) != x)
-    enough = F.filter(v, lambda x, i: first(x, i) & F.coalesce(F.get(v, i + F.get(needs, x["t"]) - 1) == x, F.lit(False)))
-    stands = lambda x: F.forall(F.get(keys, x["t"]), lambda k: (x["at"] + k["i"] >= 0) & (F.slice("_words", F.greatest(x["at"] + k["i"] + 1, F.lit(1)), F.size(k["w"])) == k["w"]))
-    n_votes = lambda x: F.size(F.filter(F.slice(v, F.greatest(F.array_position(v, x).cast("int"), F.lit(1)), F.get(totals, x["t"])), lambda y: y == x))
-    hits = F.transform(
-        F.filter(enough, stands),
-        lambda x: F.struct(F.get(labels, x["t"]).alias("label"), (x["t"] < base).alias("base"), x["at"].alias("start"), F.least(F.lit(1.0), n_votes(x) / F.get(totals, x["t"])).alias("share")),
-    )
+    hits = F.filter(F.transform(v, lambda x, i: F.when(first(x, i) & equal(x, i + F.get(needs, x["t"]) - 1) & stands(x), hit(x, i))), lambda h: h.isNotNull())
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double>>")
-    found = split.withColumn("_seen", seen).withColumn("_votes", F.when(F.size("_seen") > 0, votes)).withColumn("license_hits", F.when(F.size("_seen") > 0, hits).otherwise(none))
-    return found.withColumn("n_words", F.size("_words").cast("long")).drop("_words", "_seen", "_votes")
+    some = F.size("__w_seen") > 0
+    found = split.withColumn("__w_seen", seen).withColumn("__w_votes", F.when(some, votes)).withColumn("license_hits", F.when(some, hits).otherwise(none))
+    return found.withColumn("n_words", F.size("__w_words").cast("long")).select(*docs.columns, "n_words", "license_hits")
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

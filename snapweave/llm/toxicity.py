@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, alnum_words, bounded_batches, hashed_share, table
+from .common import Shelf, alnum_words, bounded_batches, hashed_share, table, without
 from .langid import held_out
 
 #: Digits read as letters in words that hide (fixed values).
@@ -133,7 +133,7 @@ class Detector:
             self.seen, self.hits = set(), {}
         for w in words.difference(self.seen):
             word = w.decode()
-            if not 3 <= len(word) <= 40:
+            if len(word) < 3:
                 continue
             if (m := self.trie.match(word)) and (word == m[0] or word not in self.clean):
                 self.hits[w] = (m[0], word != m[0])
@@ -214,12 +214,12 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(3, min(8, len(word) - 1) + 1))]
 
 
-def pick_terms(counts: list, n_toxic: int, n_clean: int, most: int = 500) -> dict[str, float]:
+def pick_terms(counts: list, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Words and stems far commoner in toxic texts, with their weights.
 
     A term stands in at least four toxic texts and 3 % of them, and the log odds are above 1.5 by two
     standard errors. Of nested terms the one with most toxic texts (less five for each clean one) stays; ties go
-    to the whole word, then to the longer stem.
+    to the whole word, then to the longer stem. Their number is bounded by the learned rows' words.
     """
     found = []
     for term, a, b in counts:
@@ -230,18 +230,22 @@ def pick_terms(counts: list, n_toxic: int, n_clean: int, most: int = 500) -> dic
         if odds - 2 * error > 1.5:
             found.append((a - 5 * b, not term.endswith("*"), len(term), term, odds - error))
     kept: dict[str, float] = {}
+    stemmed, begun = set(), set()  # stems that are kept, and all beginnings of what is kept
     for _, _, _, term, odds in sorted(found, reverse=True):
         own = term.rstrip("*")
-        nested = any((k.endswith("*") and own.startswith(k[:-1])) or (term.endswith("*") and k.rstrip("*").startswith(own)) for k in kept)
-        if not nested and len(kept) < most:
-            kept[term] = float(min(3.0, max(0.5, odds / 2)))
+        if any(own[:k] in stemmed for k in range(3, len(own) + 1)) or term.endswith("*") and own in begun:
+            continue
+        kept[term] = float(min(3.0, max(0.5, odds / 2)))
+        begun |= {own[:k] for k in range(3, len(own) + 1)}
+        if term.endswith("*"):
+            stemmed.add(own)
     return kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 8_000) -> Detector:
     """A detector from about `sample` labelled rows (less than twice as many) of `docs` (`doc_id`, `text`) that may be learned from.
 
-    The rows are chosen by a hash of their id; labels of null ids, null labels and other labels than 0 and 1
+    The rows are chosen by a hash of their id, an id of several rows teaches by its least text; labels of null ids, null labels and other labels than 0 and 1
     teach nothing, and an id labelled both ways counts as toxic. Without both classes every score is the share
     of toxic rows.
     """
@@ -252,14 +256,15 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 8
     if len({t for _, t in picked}) < 2:
         return Detector({}, set(), None, float(np.mean([t for _, t in picked])) if picked else 0.0)
     own = spark.createDataFrame(picked, "doc_id long, _toxic int")  # a bounded sample
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id").select("text", "_toxic")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")).select("text", "_toxic")  # one text an id, however often it stands
 
     def words(batches):
         for batch in batches:
             text, toxic = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
             tally = (Counter(), Counter())
             for x, t in zip(text, toxic, strict=True):
-                tally[t].update({s for w in set(alnum_words(x)) if len(w) <= 40 for s in stems(w.decode())})
+                tally[t].update({s for w in set(alnum_words(x)) for s in stems(w.decode())})
             out = sorted(tally[0].keys() | tally[1].keys())
             for low in range(0, len(out), 50_000):
                 part = out[low : low + 50_000]
@@ -275,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 8
 
     def near(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if len(w) <= 40 and (m := trie.match(w)) and m[1]], pa.string())], names=["word"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if (m := trie.match(w)) and m[1]], pa.string())], names=["word"])
 
     clean = {r.word for r in counts.where((F.col("b") > 0) & ~F.col("word").endswith("*")).select("word").mapInArrow(near, "word string").collect()} if terms else set()
     shared = spark.sparkContext.broadcast(Detector(terms, clean))
@@ -300,10 +305,11 @@ def score_toxicity(docs: DataFrame, detector: Detector) -> DataFrame:
     quoted boolean>> with places in bytes of the UTF-8 text.
 
     Null and empty texts get the score of a text without hits. Equal texts get equal results. Columns of `docs`
-    named like an output column are replaced.
+    named like an output column, in any case, are replaced; names that begin with `__w_` are reserved and such columns dropped.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("toxicity", "toxic_terms")
+    docs = without(docs, "toxicity", "toxic_terms")
+    at = [c.lower() for c in docs.columns].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(detector)
     hit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("misspelled", pa.bool_()), ("quoted", pa.bool_())])
     terms = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("misspelled", T.BooleanType()), T.StructField("quoted", T.BooleanType())]))
@@ -312,7 +318,7 @@ def score_toxicity(docs: DataFrame, detector: Detector) -> DataFrame:
     def score(batches):
         d = shared.value
         for batch in batches:
-            found = [d.score(t) for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            found = [d.score(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             hits = pa.array([[dict(zip(names, h, strict=True)) for h in f[1]] for f in found], pa.list_(hit))
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array([f[0] for f in found], pa.float64()), hits], names=batch.schema.names + ["toxicity", "toxic_terms"])
 

@@ -65,3 +65,16 @@ def test_items_without_id_hit_as_in_sql(spark, tmp_path):
     docs, bench = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     one, many = ({(r.doc_id, r.n_hit, tuple(r["items"])) for r in d.decontaminate(docs, bench, block_bytes=b, nameless=True).collect()} for b in (8 << 20, 300))
     assert one == many and any(None in x[2] for x in one)
+
+
+def test_clashing_names_in_one_and_in_many_blocks(spark):
+    rows, items = corpus(3)
+    df = spark.createDataFrame([(k, t, 1, 2, "x", "y", 5, "z") for k, t in rows], "doc_id long, text string, N_HIT int, _key int, Items string, _r string, _starts int, hits string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = {}
+    for block in (8 << 20, 300, 100):
+        got = d.decontaminate(df, bench, block_bytes=block)
+        assert got.columns == ["doc_id", "text", "_key", "_r", "_starts", "hits", "n_words", "hit_starts", "hit_ends", "items", "n_hit"]
+        found = {r.doc_id: r for r in got.collect()}
+        assert all((r._key, r._r, r._starts, r.hits) == (2, "y", 5, "z") for r in found.values())
+        assert plain.setdefault("of", found) == found

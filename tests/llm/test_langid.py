@@ -40,10 +40,20 @@ def test_odd_rows(spark, docs):
     df = spark.createDataFrame(corpus(["aa", "cc"]), "doc_id long, text string, lang string")
     model = g.learn(df.unionByName(spark.createDataFrame([(1, None, "aa"), (2, "x", None), (3, "123", "zz")], df.schema)), F.lit(True))
     assert model.languages == ["aa", "cc"]
-    rows = [*ODD, (7, "123 ... !"), (8, "—…")]
+    rows = [*ODD, (7, "123 ... !"), (8, "—…"), (9, "½ ² ① Ⅷ"), (10, "½ x")]
     got = g.identify(docs(rows), model).collect()
     assert len(got) == len(rows)
     assert all((r.lang_pred == "und") == (not any(ch.isalpha() for ch in r.text or "")) for r in got)
     nothing = g.learn(df.limit(0), F.lit(True))
     assert {r.lang_pred for r in g.identify(docs(ODD), nothing).collect()} == {"und"}
     assert g.identify(docs(ODD).limit(0), model).count() == 0
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = corpus(["aa", "bb"], 30)
+    df = spark.createDataFrame(rows + rows[:1] * 3000, "doc_id long, text string, lang string")
+    own = df.where("doc_id < 5")
+    model = g.learn(own, F.lit(True), per_language=10)
+    assert set(model.languages) <= {"aa", "bb"}
+    out = g.identify(df.select("doc_id", "text").withColumn("LANG_PRED", F.lit("q")).withColumn("n", F.lit(1)), model)
+    assert out.columns == ["doc_id", "text", "n", "lang_pred", "score", "ambiguous"] and out.count() == len(rows) + 3000

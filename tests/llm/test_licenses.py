@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from snapweave.llm import licenses as L
 
@@ -42,3 +43,17 @@ def test_odd_rows(docs):
     assert L.scan_licenses(docs(ODD).limit(0)).count() == 0
     many = L.scan_licenses(docs([(1, "mit license " * 5000)])).first()
     assert len(many.license_hits) == 5000
+
+
+def test_many_hits_cost_linear_time(docs):
+    began = time.time()
+    r = L.scan_licenses(docs([(1, "apache license x " * 50_000)])).first()
+    assert time.time() - began < 60
+    assert [(h.start, h.label, h.share) for h in r.license_hits if h.base] == [(3 * k, "apache", 1.0) for k in range(50_000)]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("mit license", 1, "x", 2, 3)], "text string, _words int, N_WORDS string, _votes int, License_Hits int")
+    r = L.scan_licenses(df).first()
+    assert list(r.asDict()) == ["text", "_words", "_votes", "n_words", "license_hits"] and (r._words, r._votes, r.n_words) == (1, 2, 2)
+    assert [h.label for h in r.license_hits] == ["mit"]

@@ -31,6 +31,8 @@ def test_equals_brute_force(spark):
         rows = [(i, v.tolist()) for i, v in enumerate(x)]
         assert run(spark, rows, rows=100, sample=50) == brute(rows)
     assert run(spark, rows, block_bytes=600) == brute(rows)
+    few = rows[:120]
+    assert run(spark, few + few[:1] * 500, sample=16, block_bytes=100) == brute(few)
 
 
 def test_pruning_leaves_work_undone():

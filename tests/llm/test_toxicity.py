@@ -71,3 +71,19 @@ def test_odd_rows(spark, docs):
     assert t.score_toxicity(docs(ODD).limit(0), d).count() == 0
     nulls = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
     assert t.learn(docs(ODD), nulls, F.lit(True)).coefficients is None
+
+
+def test_long_words_and_repeated_ids(spark, docs):
+    rows, labels = corpus(spark)
+    d = t.learn(docs(rows + rows[:6] * 200), labels, F.lit(True))
+    assert {"idiot", "moron"} <= set(d.terms)
+    stem = next(x[:-1] for x in d.terms if x.startswith("veq") and x.endswith("*"))
+    more = docs([(1, "you " + stem + "z" * 60), (2, "z" * 100_000)])
+    got = {r.doc_id: r for r in t.score_toxicity(more.withColumn("TOXICITY", F.lit(9)), d).collect()}
+    assert [h.term for h in got[1].toxic_terms] == [stem + "*"] and not got[2].toxic_terms
+
+
+def test_terms_are_not_capped():
+    words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(5)) for k in range(0, 26**5, 9973)]
+    found = t.pick_terms([(w, 40, 0) for w in words], 1000, 7000)
+    assert len(found) == len(words) > 500
