@@ -1,11 +1,12 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from snapweave.llm import packing as p
+from snapweave.llm.common import Shelf
 from snapweave.llm.tokens import Encoder
 
 from .conftest import ODD
@@ -37,24 +38,48 @@ def best_fit_one_by_one(counts, capacity):
     return len(gaps)
 
 
-def test_plan_places_every_rank_once():
+def packed(spark, lengths, capacity):
+    """The sequences' lengths by the operator's rounds."""
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length int").repartition(3)
+    got = p.place(items, capacity, Shelf(spark)).collect()
+    assert sorted(r.item for r in got) == list(range(len(lengths)))
+    used = defaultdict(list)
+    for r in got:
+        used[r.bin].append(lengths[r.item])
+    assert all(sum(x) <= capacity for x in used.values())
+    return used
+
+
+def test_rounds_pack_as_one_by_one_best_fit(spark):
     rnd = random.Random(8)
-    for capacity in (10, 64, 100):
-        counts = {n: rnd.randrange(1, 30) for n in rnd.sample(range(1, capacity + 1), min(capacity, 25))}
-        used, ranks = defaultdict(list), defaultdict(set)
-        for length, rank, n, first, offset in p.plan_best_fit(counts, capacity):
-            for k in range(n):
-                assert rank + k not in ranks[length]
-                ranks[length].add(rank + k)
-                used[first + k].append((offset, length))
-        assert {n: len(r) for n, r in ranks.items()} == counts
-        for own in used.values():
-            at = 0
-            for offset, length in sorted(own):
-                assert offset == at
-                at += length
-            assert at <= capacity
-        assert len(used) <= best_fit_one_by_one(counts, capacity)
+    for lengths in (
+        [rnd.randrange(1, 1024) for _ in range(1500)],
+        [rnd.choice([300, 300, 300, 40, 700]) for _ in range(1500)],
+        [rnd.randrange(1, 60) for _ in range(3000)],
+        [600] * 200 + [7] * 3000,
+        [1023, 1, 512, 512, 511, 513, 256, 256, 256, 256, 128],
+    ):
+        assert len(packed(spark, lengths, 1024)) == best_fit_one_by_one(Counter(lengths), 1024)
+    assert not packed(spark, [], 1024) and len(packed(spark, [1, 1, 1], 2)) == 2
+
+
+def test_rounds_over_many_ranges(spark):
+    rnd = random.Random(9)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for lengths in ([rnd.randrange(1, 1024) for _ in range(2000)], [900] * 100 + [rnd.randrange(1, 100) for _ in range(1500)]):
+            assert len(packed(spark, lengths, 1024)) <= best_fit_one_by_one(Counter(lengths), 1024) * 1.01 + 2
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_matches_are_resolved_by_rank():
+    counts = [(p.LEFT, 0, 500, 2), (p.LEFT, 0, 400, 1), (p.UNPLACED, 1, 200, 4), (p.UNPLACED, 1, 150, 1), (p.LEFT, 1, 180, 1), (p.UNPLACED, 2, 90, 9), (p.UNPLACED, 3, 10, 5)]
+    matches, opening = p.resolve(counts)
+    assert matches == [(1, 0, 2, 0, 400, 0, 2), (1, 2, 3, 0, 500, 0, 2), (2, 0, 2, 1, 180, 0, 2)] and opening == {3}
 
 
 def test_pieces_tile_documents_and_sequences(docs):
