@@ -170,6 +170,17 @@ def hashed_words(texts: list[bytes | None]) -> Hashed:
     return Hashed(hashes, np.diff(upto, prepend=0), starts, np.diff(np.r_[starts, len(first)]))
 
 
+def grouped(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(number of the first, texts) in groups of about `most` bytes, a longer text alone: what is worked on at a time stays small."""
+    low, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text or b"") > most:
+            yield low, texts[low:k]
+            low, size = k, 0
+        size += len(text or b"")
+    yield low, texts[low:]
+
+
 def word_edges(text: bytes) -> np.ndarray:
     """Where each word of a text begins and ends, one after the other."""
     blank = _BLANK.take(np.frombuffer(text + b"\n", np.uint8))
@@ -177,13 +188,15 @@ def word_edges(text: bytes) -> np.ndarray:
 
 
 def word_counts(texts: list[bytes | None]) -> np.ndarray:
-    """How many words each text has; a long batch is read text by text."""
-    some = b"\n".join([t or b"" for t in texts] + [b""])
-    if len(some) > 32 << 20:
-        return np.array([len(t.split()) if t else 0 for t in texts], np.int64)
-    blank = _BLANK.take(np.frombuffer(some, np.uint8))
-    opens = np.flatnonzero(~blank & np.r_[True, blank[:-1]]) if len(blank) else blank
-    return np.diff(np.searchsorted(opens, np.cumsum([len(t or b"") + 1 for t in texts])), prepend=0).astype(np.int64)
+    """How many words each text has."""
+    out = []
+    for _, some in grouped(texts):
+        blank = _BLANK.take(np.frombuffer(b"\n".join([t or b"" for t in some] + [b""]), np.uint8))
+        opens = np.flatnonzero(~blank[1:] & blank[:-1]) + 1 if len(blank) else np.zeros(0, np.int64)
+        if len(blank) and not blank[0]:
+            opens = np.r_[0, opens]
+        out.append(np.diff(np.searchsorted(opens, np.cumsum([len(t or b"") + 1 for t in some])), prepend=0))
+    return np.concatenate(out).astype(np.int64)
 
 
 def pieces_of(batch, columns: Iterable[str]) -> Iterator[tuple]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, bounded_batches, hashed_words, mix64, row_key, table, without, word_counts, word_edges
+from .common import Shelf, bounded_batches, grouped, hashed_words, mix64, row_key, table, without, word_counts, word_edges
 
 U = np.uint64
 PRINTS = ["h", "s", "doc", "key", "at", "n"]
@@ -139,6 +139,12 @@ def parts(counts: np.ndarray, need: int):
 
 def prints_of(texts: list[bytes | None], k: int, w: int, line_words: int | None) -> tuple[np.ndarray, ...]:
     """(fingerprint, hash of the whole, number of the text, first word, words) of all spans and of all lines shorter than one."""
+    groups = [_prints(some, k, w, line_words, low) for low, some in grouped(texts)]
+    return tuple(np.concatenate(x) for x in zip(*groups, strict=True))
+
+
+def _prints(texts: list[bytes | None], k: int, w: int, line_words: int | None, number: int) -> tuple[np.ndarray, ...]:
+    """The same of texts whose words are hashed together, the first of which has this number."""
     need, all_, out = k + w - 1, hashed_words(texts), []
     begins = np.cumsum(all_.counts) - all_.counts
     line_ends = all_.line_starts + all_.line_counts
@@ -158,7 +164,7 @@ def prints_of(texts: list[bytes | None], k: int, w: int, line_words: int | None)
         return np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3
     f, s, first, n = (np.concatenate(x) for x in zip(*out, strict=True))
     text = np.searchsorted(begins, first, side="right") - 1
-    return f, s, text, first - begins[text], n
+    return f, s, text + number, first - begins[text], n
 
 
 def fingerprints(docs: DataFrame, k: int, w: int, line_words: int | None) -> DataFrame:
@@ -181,13 +187,14 @@ def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            words = hashed_words(batch.column(2).to_pylist())
-            places, out, begin = batch.column(3).to_pylist(), [], 0
-            for n, own in zip(words.counts.tolist(), places, strict=True):
-                g = rolling(words.hashes[begin : begin + n], need)
-                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"] - need + 1, dtype=np.int32) for p in own])
-                out.append((g[at].view(np.int64), at))
-                begin += n
+            places, out = batch.column(3).to_pylist(), []
+            for low, texts in grouped(batch.column(2).to_pylist()):
+                words, begin = hashed_words(texts), 0
+                for n, own in zip(words.counts.tolist(), places[low : low + len(texts)], strict=True):
+                    g = rolling(words.hashes[begin : begin + n], need)
+                    at = np.concatenate([np.arange(p["at"], p["at"] + p["n"] - need + 1, dtype=np.int32) for p in own])
+                    out.append((g[at].view(np.int64), at))
+                    begin += n
             text = np.repeat(np.arange(len(out)), [len(x[1]) for x in out])
             cols = [np.concatenate([x[0] for x in out]), *(batch.column(i).to_numpy()[text] for i in range(2)), np.concatenate([x[1] for x in out])] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["g", "doc", "key", "at"])

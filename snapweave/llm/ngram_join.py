@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, bounded_batches, hashed_words, mix64, row_key, table, without
+from .common import Shelf, bounded_batches, grouped, hashed_words, mix64, row_key, table, without
 from .components import components
 
 U = np.uint64
-#: Bytes of texts whose words are hashed together.
-GROUP_BYTES = 4 << 20
 BITS = 512
 SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 SCAN = ", ".join(["kind int, doc_id long, key long, cls long, size int", *(f"{c} long" for c in (*SKETCH, "token", "n"))])
@@ -57,13 +55,8 @@ class Shingler:
 
     def many(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The sets of some texts, whose words are hashed together."""
-        low, size = 0, 0
-        for k, text in enumerate(texts):
-            if size and size + len(text or b"") > GROUP_BYTES:
-                yield from self._some(texts[low:k])
-                low, size = k, 0
-            size += len(text or b"")
-        yield from self._some(texts[low:])
+        for _, some in grouped(texts):
+            yield from self._some(some)
 
     def _some(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         words = hashed_words(texts)

@@ -28,9 +28,9 @@ def unsafe(text: str) -> bool:
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes; remembers up to `limit` words."""
+    """Texts to ids as little-endian unsigned 32-bit bytes; remembers between `limit` and twice as many words, the latest met."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -42,6 +42,7 @@ class Encoder:
         drops = [x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", [])[:1]]
         self.bare = bool(norm and drops and drops[0] and kind["model"].get("end_of_word_suffix"))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.suffixes: dict[str, bytes] = {}
         self.newline = self.whole(["\n"])[0] if self.leading else b""
         mark = "\n" if self.leading else " | "
@@ -68,16 +69,22 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Words not met yet. ASCII punctuation after a letter or digit is a pre-token of its own."""
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         parts, new = [], set(words).difference(known)
+        if before:
+            again = new.intersection(before)
+            known.update((w, before[w]) for w in again)
+            new -= again
         for w in [*new]:
             base = w.rstrip(string.punctuation)
             if len(base) < len(w) and base and base[-1].lower().isalnum() and len(base[-1].lower()) == 1:
                 parts.append((w, base, w[len(base) :]))
                 new.discard(w)
-                if base not in known:
+                if base in before:
+                    known[base] = before[base]
+                elif base not in known:
                     new.add(base)
         for starts in (False, True) if self.leading else (False,):
             own = [w for w in new if w.startswith("\n") == starts] if self.leading else list(new)
