@@ -47,6 +47,15 @@ def varint_size(value: Column) -> Column:
     return size
 
 
+def varint(value: Column) -> Column:
+    """A non-negative long in little-endian base 128, the high bit set on all bytes but the last."""
+    value = value.cast("long")
+    digits = [F.shiftrightunsigned(value, 7 * n).bitwiseAND(F.lit(127)) for n in range(9)]
+    more = [F.when(value >= F.lit(1 << (7 * (n + 1))), 128).otherwise(0) if n < 8 else F.lit(0) for n in range(9)]
+    bytes_ = F.concat(*[F.when(value >= F.lit(1 << (7 * n)) if n else F.lit(True), F.lpad(F.hex(d + m), 2, "0")).otherwise("") for n, (d, m) in enumerate(zip(digits, more, strict=True))])
+    return F.when(value >= 0, F.unhex(bytes_))
+
+
 def shard(fp: Column) -> Column:
     """The first byte of a fingerprint: 256 shards."""
     return F.conv(F.substring(F.hex(fp), 1, 2), 16, 10).cast("smallint")

@@ -1,6 +1,6 @@
-"""The binary formats as column functions: Arrow batches through pandas, never a row at a time.
+"""The binary formats as column functions: Arrow batches through pandas, within a batch value by value.
 
-Decoders return the error's code (or `ok`) beside their value, so one bad row fails no job.
+What Catalyst can say is in `columns` (`varint`). Decoders return the error's code (or `ok`) beside their value, so one bad row fails no job.
 """
 
 from __future__ import annotations

@@ -7,35 +7,43 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fingerprint, varint_size
-from ..schema import BATCH_BYTES, REORDER_WINDOW
+from ..schema import BATCH_BYTES, CHECKPOINT_BYTES, CONTAINER_BYTES, RECORD_HEAD, REORDER_WINDOW
 
-#: Rows up to which a dense numbering may use one window over everything.
-ONE_WINDOW = 200_000
+#: Rows of a range of a dense numbering, about, and the most ranges (their bounds are literals of a plan).
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4_096
 #: Indices per block when runs are formed block by block.
 RUN_BLOCK = 1 << 16
 
 
-def dense_number(rows: DataFrame, order: list[str], name: str, ranges: int = 64, one_window: int = ONE_WINDOW) -> DataFrame:
+def dense_number(rows: DataFrame, order: list[str], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`rows` (distinct in `order`) with their rank from 0 in that order.
 
-    Small tables take one window. Larger ones are cut at boundaries from a bounded sample; ranks within a range plus
-    the counts of the ranges before it (a table of `ranges` rows) number them without one task seeing all.
+    The rows are cut into ranges of about `range_rows` at boundaries from a bounded sample; ranks within a range plus
+    the counts of the ranges before it (a table of a row a range) number them without one task seeing all. A row finds its
+    range by a search through halves, so their number may grow with the data.
     """
     total = rows.count()
-    if total <= one_window:
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    key = F.struct(*order)
-    picked = sorted(r.k for r in rows.where(F.pmod(F.xxhash64(*order), F.lit(total // (64 * ranges))) == 0).select(key.alias("k")).collect())
-    bounds = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
-    types = dict(rows.dtypes)
+    ranges = min(MOST_RANGES, -(-total // range_rows))
+    key, types, bounds = F.struct(*order), dict(rows.dtypes), []
+    if ranges > 1:
+        picked = sorted(r.k for r in rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, total // (64 * ranges)))) == 0).select(key.alias("k")).collect())
+        bounds = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
     literal = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
-    part = sum((F.when(key >= literal(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    cut = rows.withColumn("_part", part)
+
+    def range_of(low: int, high: int) -> Column:
+        """The number of bounds, of those from low to high, that are at most the key; low if none."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < literal(bounds[middle]), range_of(low, middle)).otherwise(range_of(middle + 1, high))
+
+    cut = rows.withColumn("_part", range_of(0, len(bounds)))
     counts = cut.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -64,13 +72,16 @@ def files_unchanged(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def negotiation_summary(current: DataFrame, refs: DataFrame, needed: DataFrame, canonical_: DataFrame, unchanged: DataFrame) -> DataFrame:
-    """One row: chunks, bytes and files in all, needed and unchanged."""
-    total = canonical_.agg(F.count("*").alias("chunks_total"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes_total"))
-    missing = needed.agg(F.count("*").alias("chunks_needed"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes_needed"))
-    files = current.agg(F.count("*").alias("files_total"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("logical_bytes"))
-    same = unchanged.agg(F.count("*").alias("files_unchanged"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes_in_unchanged"))
-    count = refs.agg(F.count("*").alias("chunk_refs"))
-    return total.crossJoin(missing).crossJoin(files).crossJoin(same).crossJoin(count)  # one row each
+    """One row: chunks, bytes and files in all, needed and unchanged. Chunks are counted once, with a mark on those that are needed;
+    so are files, with a mark on those that are unchanged."""
+    size = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long")
+    marked = canonical_.select("idx", "length").join(needed.select("idx", F.lit(1).alias("need")), "idx", "left")
+    chunks = marked.agg(
+        F.count("*").alias("chunks_total"), size("length").alias("bytes_total"), F.count("need").alias("chunks_needed"), size(F.when(F.col("need") == 1, F.col("length"))).alias("bytes_needed")
+    )
+    files = current.agg(F.count("*").alias("files_total"), size("size").alias("logical_bytes"))
+    same = unchanged.agg(F.count("*").alias("files_unchanged"), size("size").alias("bytes_in_unchanged"))
+    return chunks.crossJoin(files).crossJoin(same).crossJoin(refs.agg(F.count("*").alias("chunk_refs")))  # one row each
 
 
 def need_runs(indices: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
@@ -78,16 +89,39 @@ def need_runs(indices: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
     own = Window.partitionBy("b").orderBy("idx")
     rows = indices.select(F.col("idx").cast("long")).distinct().withColumn("b", F.floor(F.col("idx") / block))
     runs = rows.withColumn("k", F.col("idx") - F.row_number().over(own)).groupBy("b", "k").agg(F.min("idx").alias("start"), F.max("idx").alias("last"))
+    return _across_blocks(runs, block)
+
+
+def _across_blocks(runs: DataFrame, block: int) -> DataFrame:
+    """Runs within blocks, with those that touch at a border made one."""
     touches = (F.pmod("start", F.lit(block)) == 0) | (F.pmod(F.col("last") + 1, F.lit(block)) == 0)
     all_ = Window.orderBy("start")  # at most two runs of a block
     edge = runs.where(touches).withColumn("new", F.when(F.col("start") == F.lag("last").over(all_) + 1, 0).otherwise(1)).withColumn("k", F.sum("new").over(all_))
     return edge.groupBy("k").agg(F.min("start").alias("start"), F.max("last").alias("last")).select("start", "last").unionByName(runs.where(~touches).select("start", "last"))
 
 
-def run_deltas(runs: DataFrame) -> DataFrame:
-    """What a run list encodes: gap to the run before, and length less one."""
-    before = F.lag("last").over(Window.orderBy("start"))
-    return runs.select("start", "last", (F.col("start") - F.coalesce(before + 1, F.lit(0))).alias("gap"), (F.col("last") - F.col("start")).alias("extra"))
+def run_deltas(runs: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
+    """What a run list encodes: gap to the run before, and length less one. Blocks of indices are walked side by side."""
+    rows = runs.select("start", "last", F.floor(F.col("start") / block).alias("b"))
+    ends = rows.groupBy("b").agg(F.max("last").alias("end"))  # a row a block
+    ends = ends.select("b", F.lag("end").over(Window.orderBy("b")).alias("end"))
+    before = F.coalesce(F.lag("last").over(Window.partitionBy("b").orderBy("start")), "end")
+    found = rows.join(ends, "b").withColumn("before", before)
+    return found.select("start", "last", (F.col("start") - F.coalesce(F.col("before") + 1, F.lit(0))).alias("gap"), (F.col("last") - F.col("start")).alias("extra"))
+
+
+def union_runs(a: DataFrame, b: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
+    """The maximal runs that cover what either run list covers: overlapping and touching runs become one.
+
+    Runs are cut at block borders and merged within blocks by the largest end so far, then across borders.
+    """
+    both = a.select("start", "last").unionByName(b.select("start", "last"))
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("last") / block)))
+    cut = both.select("start", "last", blocks.alias("b")).select("b", F.greatest("start", F.col("b") * block).alias("start"), F.least("last", (F.col("b") + 1) * block - 1).alias("last"))
+    own = Window.partitionBy("b").orderBy("start", "last")
+    opens = F.when(F.col("start") <= F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1)) + 1, 0).otherwise(1)
+    runs = cut.withColumn("new", opens).withColumn("k", F.sum("new").over(own)).groupBy("b", "k").agg(F.min("start").alias("start"), F.max("last").alias("last"))
+    return _across_blocks(runs, block)
 
 
 def encoded_size(runs: DataFrame) -> DataFrame:
@@ -140,27 +174,98 @@ def greedy_batches(sizes: Iterable[int], limit: int):
         yield batch
 
 
-def pack_batches(plan: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
-    """`plan` (seq, length) as batches of consecutive chunks, each with its length in front, until `limit` is reached.
+def _leaps(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """For every item the first one after the batch that it opens (as many as there are, if that batch stays open)."""
+    upto = np.cumsum(sizes)
+    return np.minimum(np.searchsorted(upto, upto - sizes + limit, side="left") + 1, len(sizes))
+
+
+def _openings(sizes: np.ndarray, limit: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(first, count, held) of a block of items: its items up to the first that may open a batch at the latest; for each of
+    them, opening a batch there, how many batches open in the block, and how many bytes the last of them holds."""
+    n, leap, upto = len(sizes), _leaps(sizes, limit), np.cumsum(sizes)
+    count, held = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = int(leap[i])
+        closed = upto[j - 1] - upto[i] + sizes[i] >= limit
+        count[i], held[i] = (1 + count[j], held[j]) if closed and j < n else (1, upto[n - 1] - upto[i] + sizes[i])
+    return list(range(min(n, int(leap[0])) + (n > int(leap[0])))), count, held
+
+
+def pack_batches(plan: DataFrame, limit: int = BATCH_BYTES, block: int = 1 << 16) -> DataFrame:
+    """`plan` (seq dense from 0, length) as batches of consecutive chunks, each with its length in front, until `limit` is reached.
 
-    The running size restarts with every batch, so no window sum gives it; two numbers a chunk go through one
-    ordered task, and payloads are joined to their batch afterwards.
+    The running size restarts with every batch, so no window sum gives it. Blocks of positions are walked side by side: since a
+    batch ends where `limit` is reached, a block knows for each place where its first batch may open how many batches it opens and what
+    the last one holds. One pass over these short lists, a row a block, tells every block its state, and each block numbers its own.
     """
-    sized = plan.select("seq", (varint_size(F.col("length")) + F.col("length")).cast("long").alias("n"))
-    ordered = sized.coalesce(1).sortWithinPartitions("seq")
+    sized = plan.select("seq", (varint_size(F.col("length")) + F.col("length")).cast("long").alias("n"), F.floor(F.col("seq") / block).alias("b"))
 
-    def walk(batches):
-        batch_no, held = 0, 0
+    def summarise(key, rows):
+        sizes = rows.sort_by("seq").column("n").to_numpy()
+        first, count, held = _openings(sizes, limit)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.table({"b": [key[0].as_py()], "total": [int(upto[-1])], "upto": [upto[first].tolist()], "count": [count[first].tolist()], "held": [held[first].tolist()]})
+
+    lists = "b long, total long, upto array<long>, count array<long>, held array<long>"
+    states = sized.groupBy("b").applyInArrow(summarise, lists)
+
+    def chain(batches):
+        batch_no, carried = -1, limit  # the first item opens a batch
         for batch in batches:
             out = []
-            for n in batch.column(1).to_pylist():
-                if held >= limit:
-                    batch_no, held = batch_no + 1, 0
-                held += n
-                out.append(batch_no)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["seq", "n", "batch"])
+            for b, total, upto, count, held in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                out.append((b, batch_no, carried))
+                # the items until the carried batch is full belong to it; the next opens a batch
+                k = next((i for i, u in enumerate(upto) if carried + u >= limit), None)
+                if k is None or k >= len(count) or count[k] == 0:
+                    carried += total
+                else:
+                    batch_no, carried = batch_no + count[k], held[k]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["b", "batch_no", "carried"])
+
+    begun = states.coalesce(1).sortWithinPartitions("b").mapInArrow(chain, "b long, batch_no long, carried long")
+
+    def number(key, rows):
+        rows = rows.sort_by("seq")
+        sizes = rows.column("n").to_numpy()
+        batch_no, held, leap = rows.column("batch_no")[0].as_py(), rows.column("carried")[0].as_py(), _leaps(sizes, limit)
+        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        i = int(np.searchsorted(held + before, limit, side="left"))  # up to here the carried batch goes on
+        own = np.zeros(len(sizes), np.int64)
+        while i < len(sizes):
+            own[i] = 1
+            i = int(leap[i])
+        return pa.table({"seq": rows.column("seq"), "n": rows.column("n"), "batch": batch_no + np.cumsum(own)})
+
+    return sized.join(begun, "b").groupBy("b").applyInArrow(number, "seq long, n long, batch long")
+
+
+def checkpoint_marks(plan: DataFrame, every: int = CHECKPOINT_BYTES, block: int = 1 << 16) -> DataFrame:
+    """(seq, bytes) of the arrivals after which progress is saved: each time `every` bytes have come since the last time."""
+    groups = pack_batches(plan, every, block)
+    return groups.groupBy("batch").agg(F.max("seq").alias("seq"), F.sum("n").cast("long").alias("bytes")).where(F.col("bytes") >= every).select("seq", "bytes")
+
+
+def expected_arrivals(arrivals: DataFrame, plan: DataFrame) -> DataFrame:
+    """Arrivals (seq, payload) against the plan (seq, fp): status `ok`, `fingerprint-mismatch`, or `protocol` beyond the plan."""
+    found = arrivals.join(plan.select("seq", "fp"), "seq", "left")
+    status = F.when(F.col("fp").isNull(), "protocol").when(fingerprint(F.col("payload")) != F.col("fp"), "fingerprint-mismatch").otherwise("ok")
+    return found.withColumn("status", status).drop("fp")
+
+
+def session_guard(manifest: DataFrame, session: DataFrame) -> DataFrame:
+    """Per session whether the manifest it was sent (dataset, generation, digest) is the one it asked for."""
+    both = session.join(manifest.select("session", *[F.col(k).alias(f"sent_{k}") for k in ("dataset", "generation", "digest")]), "session", "left")
+    same = F.col("sent_dataset").eqNullSafe(F.col("dataset")) & F.col("sent_generation").eqNullSafe(F.col("generation"))
+    status = F.when(F.col("sent_digest").isNull(), "not-found").when(~same, "protocol").when(F.col("sent_digest") != F.col("digest"), "fingerprint-mismatch").otherwise("ok")
+    return both.select("session", status.alias("status"))
+
 
-    return ordered.mapInArrow(walk, "seq long, n long, batch long")
+def roll_containers(records: DataFrame, limit: int = CONTAINER_BYTES, block: int = 1 << 16) -> DataFrame:
+    """`records` (seq, length) dealt to containers: one is closed when it has reached `limit` bytes with its records' heads."""
+    plan = records.select("seq", (F.col("length") + RECORD_HEAD).alias("length"))
+    return pack_batches(plan, limit, block).select("seq", F.col("batch").alias("container"))
 
 
 def put_guard(length: Column, claimed: Column, actual: Column, high: int) -> Column:
@@ -202,14 +307,16 @@ def orphans(manifests: DataFrame, commits: DataFrame) -> DataFrame:
     return manifests.join(commits.select("dataset", "generation"), ["dataset", "generation"], "left_anti")
 
 
-def size_distribution(lengths: DataFrame, column: str = "length") -> DataFrame:
-    """Mean, largest and the values at n*p div 100 of the ascending sizes (no interpolation): value counts, then running sums."""
+def size_distribution(lengths: DataFrame, column: str = "length", high: int | None = None) -> DataFrame:
+    """Mean, largest and the values at n*p div 100 of the ascending sizes (no interpolation), and with `high` the per cent of sizes that
+    were forced to it: value counts, then running sums."""
     counts = lengths.groupBy(F.col(column).alias("v")).count()
     upto = F.sum("count").over(Window.orderBy("v"))
     total = counts.agg(F.sum("count").alias("n"))
     placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))
     at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col("v")))
-    return placed.agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("count")) / F.max("n")).alias("mean"), at(1).alias("p1"), at(50).alias("p50"), at(99).alias("p99"), F.max("v").alias("most"))
+    forced = [(F.sum(F.when(F.col("v") == high, F.col("count")).otherwise(0)) * 100 / F.max("n")).alias("forced_pct")] if high is not None else []
+    return placed.agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("count")) / F.max("n")).alias("mean"), at(1).alias("p1"), at(50).alias("p50"), at(99).alias("p99"), F.max("v").alias("most"), *forced)
 
 
 def boundary_preservation(before: DataFrame, after: DataFrame) -> DataFrame:

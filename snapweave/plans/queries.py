@@ -334,9 +334,13 @@ FROM (SELECT *, CASE WHEN generation = 0 THEN 'seed' ELSE 'incremental' END AS p
 def campaign_reduction(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("logical"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("generation"))
     sent = F.when((F.col("generation") == 0) | (F.col("doc_id") % 33 == F.col("generation")), F.floor(F.col("logical") / 2)).otherwise(0)
-    d.withColumn("wire", sent).withColumn("part", F.when(F.col("generation") == 0, "seed").otherwise("incremental")).createOrReplaceTempView("_campaign")
-    return spark.sql("""SELECT CASE WHEN grouping(part) = 1 THEN 'campaign' ELSE part END AS part, coalesce(generation, -1) AS generation, sum(logical) AS logical_bytes, sum(wire) AS wire_bytes,
-        100 - 100 * sum(wire) / sum(logical) AS reduction_pct FROM _campaign GROUP BY GROUPING SETS ((part, generation), (part), ())""")
+    rows = d.withColumn("wire", sent).withColumn("part", F.when(F.col("generation") == 0, "seed").otherwise("incremental"))
+    sums = [F.sum("logical").alias("logical_bytes"), F.sum("wire").alias("wire_bytes")]
+    each = rows.groupBy("part", "generation").agg(*sums)  # a row a generation; the coarser sums come from these
+    total = [F.sum(k).alias(k) for k in ("logical_bytes", "wire_bytes")]
+    whole = each.agg(*total).select(F.lit("campaign").alias("part"), F.lit(-1).cast("long").alias("generation"), "logical_bytes", "wire_bytes")
+    parts = each.groupBy("part").agg(*total).withColumn("generation", F.lit(-1).cast("long"))
+    return each.unionByName(parts).unionByName(whole).withColumn("reduction_pct", 100 - 100 * F.col("wire_bytes") / F.col("logical_bytes"))
 
 
 @query(f"""WITH {_REFS}, l AS (SELECT list(length ORDER BY length) AS v, count(*) AS n, avg(length) AS mean FROM r0)
@@ -367,10 +371,11 @@ b AS (SELECT sha256(l_orderkey || '|' || l_linenumber || '|' || (l_quantity + (l
 SELECT (SELECT count(*) FROM b) AS rows_total, (SELECT count(*) FROM b ANTI JOIN a USING (fp)) AS rows_new, (SELECT count(*) FROM a ANTI JOIN b USING (fp)) AS rows_gone""")
 def row_fingerprint_diff(spark, sf):
     li, money = table(spark, sf, "lineitem"), lambda x: x.cast("decimal(18,2)").cast("string")
-    fp = lambda q: F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", money(q), money(F.col("l_extendedprice")), "l_returnflag"), 256).alias("fp")
-    a = li.select(fp(F.col("l_quantity")))
-    b = li.select(fp(F.col("l_quantity") + (F.col("l_orderkey") % 50 == 3).cast("int")))
-    return b.agg(F.count("*").alias("rows_total")).crossJoin(b.join(a, "fp", "left_anti").agg(F.count("*").alias("rows_new"))).crossJoin(a.join(b, "fp", "left_anti").agg(F.count("*").alias("rows_gone")))
+    fp = lambda q: F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", money(q), money(F.col("l_extendedprice")), "l_returnflag"), 256)
+    both = F.explode(F.array(F.struct(F.unhex(fp(F.col("l_quantity"))).alias("fp"), F.lit(0).alias("side")), F.struct(F.unhex(fp(F.col("l_quantity") + (F.col("l_orderkey") % 50 == 3).cast("int"))).alias("fp"), F.lit(1).alias("side"))))
+    own = li.select(both.alias("x")).groupBy("x.fp").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))  # one scan, one shuffle of 32 bytes a row
+    only = lambda here, there: F.coalesce(F.sum(F.when(F.col(there) == 0, F.col(here))), F.lit(0))
+    return own.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("rows_total"), only("b", "a").alias("rows_new"), only("a", "b").alias("rows_gone"))
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content, count(*) AS pieces FROM conversations GROUP BY conv_id")
@@ -412,7 +417,9 @@ def link_cost(spark, sf):
     return d.select("doc_id", c.round_trip_cost(F.lit(3), F.lit(50), F.col("n_chars"), F.lit(100)).alias("seconds"), c.reduction_pct(F.floor(F.col("n_chars") / 2), F.col("n_chars")).alias("reduction_pct"))
 
 
-@query()
+@query("""WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+b AS (SELECT doc_id, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS v FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, v), lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) AS crc32c FROM b, t""")
 def crc32c_check(spark, sf):
     return table(spark, sf, "documents").select("doc_id", udfs.crc32c_col(F.col("text").cast("binary")).alias("crc32c"))
 
@@ -420,7 +427,7 @@ def crc32c_check(spark, sf):
 @query("SELECT DISTINCT o_orderkey * 7919 AS value, 'ok' AS code FROM orders")
 def varint_roundtrip(spark, sf):
     v = table(spark, sf, "orders").select((F.col("o_orderkey") * 7919).alias("v")).distinct()
-    return v.select(udfs.decode_varint_col(udfs.varint_col("v")).alias("d")).select(F.col("d.value").cast("long").alias("value"), "d.code")
+    return v.select(udfs.decode_varint_col(c.varint(F.col("v"))).alias("d")).select(F.col("d.value").cast("long").alias("value"), "d.code")
 
 
 @query("SELECT doc_id, sha256(text) AS digest, 'ok' AS code FROM documents WHERE octet_length(encode(text)) > 0")

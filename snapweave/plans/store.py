@@ -1,12 +1,14 @@
 """The chunk store and its generations, on any file system Spark can reach.
 
     chunks/shard=NN/*.parquet    every distinct chunk: fp, length, payload
-    gens/<attempt>/files, refs   what one attempt wrote about one generation
-    commits/<dataset>/gNNNNNNNNNN.json   the marker whose creation is the atomic instant of a commit
+    files/attempt=<attempt>, refs/attempt=<attempt>   what one attempt wrote about one generation
+    commits/<dataset>/gNNNNNNNNNN.json   the marker whose appearance is the atomic instant of a commit
     _store.json                  version and chunk sizes
 
-Only markers make anything visible: an attempt that died leaves folders that no marker names, which sweep() removes.
-Chunks are named by their content, so writing one twice does no harm; readers take either.
+Only markers make anything visible: an attempt that died leaves folders that no marker names, which sweep() removes. A
+marker is written under another name and renamed, so it is there whole or not at all; one that can't be read counts as none.
+Chunks are named by their content, so writing one twice does no harm; readers take either. The catalog and every check
+are single plans over all generations, whose attempts are partitions of two tables.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import snapshot
 from ..operators.chunking import Params
-from ..schema import DETAIL_LIMIT, MAX_CHUNK, STORE_VERSION, EngineError
+from ..schema import CHUNK_REFS, DETAIL_LIMIT, FILES, MAX_CHUNK, STORE_VERSION, EngineError
+from ..sources.tree import write_files
 from . import faults
 
 CHUNKS = "fp binary, length int, payload binary, shard int"
@@ -47,24 +50,42 @@ class Store:
             stream.close()
 
     def _create(self, name: str, text: str) -> bool:
-        """Write a new file; False where it is there already."""
-        if self._fs().exists(self._path(name)):
+        """Publish a new small file at once; False where it is there already."""
+        fs, path = self._fs(), self._path(name)
+        if fs.exists(path):
             return False
-        try:
-            out = self._fs().create(self._path(name), False)
+        own = self._path(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp".lstrip("/"))
+        out = fs.create(own, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # without OVERWRITE a rename refuses a name that is taken
+            context.rename(fs.makeQualified(own), fs.makeQualified(path), self.spark.sparkContext._gateway.new_array(kind, 0))
         except Exception as e:  # noqa: BLE001 - Java's
+            fs.delete(own, False)
             if "FileAlreadyExists" in str(e):
                 return False
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
+    def _marker_at(self, name: str) -> dict | None:
+        """A marker's content; None where there is none or it can't be read."""
+        try:
+            m = json.loads(self._read(name)) if self._fs().exists(self._path(name)) else None
+            return m if m and {"generation", "digest", "attempt"} <= m.keys() else None
+        except ValueError:
+            return None
+
     def _names(self, name: str) -> list[str]:
         if not self._fs().exists(self._path(name)):
             return []
         return sorted(s.getPath().getName() for s in self._fs().listStatus(self._path(name)))
 
+    def remove(self, name: str) -> None:
+        self._fs().delete(self._path(name), True)
+
     @classmethod
     def open(cls, spark: SparkSession, root: str, params: Params | None = None) -> Store:
         """A store that is there or is made; other chunk sizes than its own are refused."""
@@ -92,7 +113,7 @@ class Store:
     def get(self, fps: DataFrame) -> DataFrame:
         """Chunks by fingerprint, hashed again: fp, payload, status. The shard prunes partitions."""
         asked = fps.select("fp", c.shard(F.col("fp")).cast("int").alias("shard")).distinct()
-        found = asked.join(self.chunks().dropDuplicates(["fp"]).drop("length"), ["shard", "fp"], "left")
+        found = asked.join(self.chunks().drop("length"), ["shard", "fp"], "left").dropDuplicates(["fp"])  # of the few asked, not of the store
         status = F.when(F.col("payload").isNull(), "not-found").when(c.fingerprint(F.col("payload")) != F.col("fp"), "corrupt").otherwise("ok")
         return found.select("fp", "payload", status.alias("status"))
 
@@ -120,22 +141,36 @@ class Store:
         rows = []
         for dataset in self._names("commits"):
             for name in self._names(f"commits/{dataset}"):
-                if name.endswith(".json"):
-                    m = json.loads(self._read(f"commits/{dataset}/{name}"))
+                if name.endswith(".json") and (m := self._marker_at(f"commits/{dataset}/{name}")):
                     rows.append((dataset, m["generation"], m["digest"], m["attempt"]))
         return self.spark.createDataFrame(rows, COMMITS)
 
     def _marker(self, dataset: str, generation: int) -> dict | None:
-        name = f"commits/{dataset}/g{generation:010d}.json"
-        return json.loads(self._read(name)) if self._fs().exists(self._path(name)) else None
+        return self._marker_at(f"commits/{dataset}/g{generation:010d}.json")
+
+    def _all(self, table: str, columns: str) -> DataFrame:
+        """What all visible generations hold, with dataset, generation and digest of each: a join on the attempt, which prunes partitions."""
+        if not self._names(table):
+            rows = self.spark.createDataFrame([], f"{columns}, attempt string")
+        else:
+            rows = self.spark.read.schema(f"{columns}, attempt string").parquet(f"{self.root}/{table}")
+        return rows.join(F.broadcast(self.commits().withColumnRenamed("digest", "published")), "attempt")
+
+    @staticmethod
+    def _row_hashes(files: DataFrame, refs: DataFrame, *by: str) -> DataFrame:
+        a = files.select(*by, F.sha2(F.concat_ws("\0", "path", "mode", "size", "mtime_ns", c.to_hex(F.col("digest"))), 256).alias("h"))
+        return a.unionByName(refs.select(*by, F.sha2(F.concat_ws("\0", "path", "chunk_no", "length", c.to_hex(F.col("fp"))), 256).alias("h")))
 
     @staticmethod
-    def digest(files: DataFrame, refs: DataFrame) -> str:
-        """One hash of a generation's rows in any order: hashes of rows, sorted and hashed within 256 buckets, then over the buckets."""
-        a = files.select(F.sha2(F.concat_ws("\0", "path", "mode", "size", "mtime_ns", c.to_hex(F.col("digest"))), 256).alias("h"))
-        b = refs.select(F.sha2(F.concat_ws("\0", "path", "chunk_no", "length", c.to_hex(F.col("fp"))), 256).alias("h"))
-        parts = a.unionByName(b).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-        return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), ""), 256).alias("h")).first().h
+    def _digests(hashes: DataFrame, *by: str) -> DataFrame:
+        joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), ""), 256).alias("h")
+        return hashes.groupBy(*by, F.substring("h", 1, 3).alias("b")).agg(joined("h")).groupBy(*by).agg(joined(F.concat("b", "h")))
+
+    @classmethod
+    def digest(cls, files: DataFrame, refs: DataFrame) -> str:
+        """One hash of a generation's rows in any order: hashes of rows, sorted and hashed within 4096 buckets, then over the buckets."""
+        found = cls._digests(cls._row_hashes(files, refs)).first()
+        return found.h
 
     def commit(self, dataset: str, generation: int, files: DataFrame, refs: DataFrame) -> str:
         """Publish a generation: its digest. The same again is fine; another one under the same number is refused."""
@@ -150,12 +185,14 @@ class Store:
             raise EngineError("protocol", "not all chunks have arrived")
         attempt = f"{dataset}-{generation:010d}-{uuid.uuid4().hex}"
         faults.reach("before_manifest")
-        files.select("path", "mode", "size", "mtime_ns", "digest").write.parquet(f"{self.root}/gens/{attempt}/files")
-        refs.select("path", "chunk_no", "offset", "length", "fp").write.parquet(f"{self.root}/gens/{attempt}/refs")
+        files.select("path", "mode", "size", "mtime_ns", "digest").write.parquet(f"{self.root}/files/attempt={attempt}")
+        refs.select("path", "chunk_no", "offset", "length", "fp").write.parquet(f"{self.root}/refs/attempt={attempt}")
         faults.reach("after_manifest")
         faults.reach("before_marker")
-        marker = json.dumps({"generation": generation, "digest": digest, "attempt": attempt})
-        if not self._create(f"commits/{dataset}/g{generation:010d}.json", marker):
+        marker, name = json.dumps({"generation": generation, "digest": digest, "attempt": attempt}), f"commits/{dataset}/g{generation:010d}.json"
+        if not self._create(name, marker):
+            if not self._marker_at(name):  # a torn file of another writer makes nothing visible
+                self._fs().delete(self._path(name), False)
             return self.commit(dataset, generation, files, refs)
         faults.reach("after_marker")
         return digest
@@ -165,38 +202,33 @@ class Store:
         m = self._marker(dataset, generation)
         if not m:
             raise EngineError("not-found", f"{dataset} {generation}")
-        return tuple(self.spark.read.parquet(f"{self.root}/gens/{m['attempt']}/{t}") for t in ("files", "refs"))
+        return tuple(self.spark.read.schema(k).parquet(f"{self.root}/{t}/attempt={m['attempt']}") for t, k in (("files", FILES), ("refs", CHUNK_REFS)))
 
     def latest(self, dataset: str) -> int:
-        names = self._names(f"commits/{dataset}")
-        if not names:
+        found = self.commits().where(F.col("dataset") == dataset).agg(F.max("generation").alias("g")).first().g
+        if found is None:
             raise EngineError("not-found", dataset)
-        return int(names[-1][1:11])
+        return found
 
     def sweep(self) -> int:
         """Remove what no marker names; how many attempts that were."""
         alive = {r.attempt for r in self.commits().collect()}
-        dead = [a for a in self._names("gens") if a not in alive]
+        dead = {a.partition("=")[2] for t in ("files", "refs") for a in self._names(t)} - alive
         for a in dead:
-            self._fs().delete(self._path(f"gens/{a}"), True)
+            for t in ("files", "refs"):
+                self._fs().delete(self._path(f"{t}/attempt={a}"), True)
         return len(dead)
 
     def all_refs(self) -> DataFrame:
-        out = self.spark.createDataFrame([], "dataset string, generation long, path string, chunk_no int, length int, fp binary")
-        for r in self.commits().collect():
-            _, refs = self.manifest(r.dataset, r.generation)
-            out = out.unionByName(refs.select(F.lit(r.dataset).alias("dataset"), F.lit(r.generation).cast("long").alias("generation"), "path", "chunk_no", "length", "fp"))
-        return out
+        return self._all("refs", CHUNK_REFS).select("dataset", "generation", "path", "chunk_no", "length", "fp")
 
     def catalog(self) -> DataFrame:
         """A row per visible generation: dataset, generation, files, logical_bytes, chunk_refs."""
-        rows = None
-        for r in self.commits().collect():
-            files, refs = self.manifest(r.dataset, r.generation)
-            one = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("logical_bytes")).crossJoin(refs.agg(F.count("*").alias("chunk_refs")))
-            one = one.select(F.lit(r.dataset).alias("dataset"), F.lit(r.generation).cast("long").alias("generation"), "*")
-            rows = one if rows is None else rows.unionByName(one)
-        return rows if rows is not None else self.spark.createDataFrame([], "dataset string, generation long, files long, logical_bytes long, chunk_refs long")
+        by = ["dataset", "generation"]
+        files = self._all("files", FILES).groupBy(*by).agg(F.count("*").alias("files"), F.sum("size").alias("logical_bytes"))
+        refs = self._all("refs", CHUNK_REFS).groupBy(*by).agg(F.count("*").alias("chunk_refs"))
+        counts = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("files", "logical_bytes", "chunk_refs")]
+        return self.commits().select(*by).join(files, by, "left").join(refs, by, "left").select(*by, *counts)
 
     def totals(self) -> DataFrame:
         return self.fingerprints().agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes_stored"))
@@ -210,11 +242,12 @@ class Store:
             wrong = wrong | (c.fingerprint(F.col("payload")) != F.col("fp"))
         bad = self.chunks().where(wrong).select(F.lit("corrupt chunk").alias("problem"), c.to_hex(F.col("fp")).alias("detail"))
         gaps = snapshot.prefix_consistent(self.commits()).where("NOT consistent").select(F.lit("gap in generations").alias("problem"), F.col("dataset").alias("detail"))
-        out = missing.unionByName(bad).unionByName(gaps)
-        for r in self.commits().collect():
-            if self.digest(*self.manifest(r.dataset, r.generation)) != r.digest:
-                out = out.unionByName(self.spark.createDataFrame([("altered manifest", f"{r.dataset} {r.generation}")], "problem string, detail string"))
-        return out
+        by = ["dataset", "generation"]
+        again = self._digests(self._row_hashes(self._all("files", FILES), self._all("refs", CHUNK_REFS), *by), *by)
+        empty = F.sha2(F.lit(""), 256)  # a generation without rows
+        altered = self.commits().join(again, by, "left").where(F.coalesce("h", empty) != F.col("digest"))
+        altered = altered.select(F.lit("altered manifest").alias("problem"), F.concat_ws(" ", *by).alias("detail"))
+        return missing.unionByName(bad).unionByName(gaps).unionByName(altered)
 
     def verify(self, deep: bool = False) -> dict:
         found = self.problems(deep)
@@ -223,26 +256,11 @@ class Store:
     def materialize(self, dataset: str, generation: int, out: str) -> int:
         """Write a generation's files below `out` (a folder all executors share): how many. Each is checked, then renamed into place."""
         files, refs = self.manifest(dataset, generation)
-        whole = snapshot.assemble(refs, self.chunks().dropDuplicates(["fp"]))
+        whole = snapshot.assemble(refs, self.chunks().join(refs.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]))
         rows = files.join(whole, "path", "left").select("path", "mode", "digest", F.coalesce("content", F.lit(b"")).alias("content"), F.coalesce("missing", F.lit(0)).alias("missing"))
         checked = rows.withColumn("bad", F.when(F.col("missing") > 0, "not-found").when(~c.valid_path(F.col("path")), "malformed").when(c.fingerprint(F.col("content")) != F.col("digest"), "corrupt"))
         first = checked.where("bad IS NOT NULL").select("bad", "path").limit(1).collect()
         if first:
             raise EngineError(first[0].bad, first[0].path)
-
-        def write(part):
-            import os
-
-            for r in part:
-                target = os.path.join(out, r.path)
-                os.makedirs(os.path.dirname(target) or out, exist_ok=True)
-                tmp = f"{target}.{os.getpid()}.tmp"
-                with open(tmp, "wb") as f:
-                    f.write(r.content)
-                    f.flush()
-                    os.fsync(f.fileno())
-                os.chmod(tmp, r.mode)
-                os.replace(tmp, target)
-
-        checked.select("path", "mode", "content").foreachPartition(write)
+        write_files(checked.select("path", "mode", "content"), out)
         return files.count()

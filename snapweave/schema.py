@@ -13,6 +13,7 @@ MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 2_048, 8_192, 65_536
 MAX_PATH, MAX_FILES, MAX_CHUNKS_PER_FILE, MAX_REFS = 4_096, 1 << 22, 1 << 24, 1 << 26
 MAX_FRAME, MAX_MANIFEST, MAX_NEED, MAX_BATCH, BATCH_BYTES = 1 << 20, 64 << 20, 16 << 20, 1 << 20, 256 << 10
 MAX_NEED_INDICES, REORDER_WINDOW, CHECKPOINT_BYTES, DETAIL_LIMIT = 1 << 24, 65_536, 8 << 20, 32
+CONTAINER_BYTES, RECORD_HEAD = 128 << 20, 48
 PROTOCOL_VERSION = STORE_VERSION = MANIFEST_VERSION = 1
 
 CHUNK_REF = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("length", T.IntegerType())])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.columns import valid_path
 from ..operators.chunking import Params, cuts
 
 FILE_COLUMNS = "path string, mode int, size long, mtime_ns long, content binary"
@@ -142,15 +143,48 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def scan(spark: SparkSession, root: str, params: Params = Params(), payload: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, refs) of a tree: path, mode, size, mtime_ns, digest; and path, chunk_no, offset, length, fp, payload."""
+def chunk_rows(spark: SparkSession, root: str, params: Params = Params(), payload: bool = True) -> DataFrame:
+    """A tree as rows of chunks; see CHUNK_COLUMNS."""
     register(spark)
-    rows = spark.read.format("tree_chunks").options(low=params.low, avg=params.avg, high=params.high, payload=str(payload).lower()).load(root)
+    return spark.read.format("tree_chunks").options(low=params.low, avg=params.avg, high=params.high, payload=str(payload).lower()).load(root)
+
+
+def parts_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, refs) of rows of chunks."""
     files = rows.where("chunk_no IS NULL OR chunk_no = 0").select("path", "mode", "size", "mtime_ns", "digest")
     return files, rows.where("chunk_no IS NOT NULL").select("path", "chunk_no", "offset", "length", "fp", "payload")
 
 
-def scan_stats(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row: files, logical_bytes, chunk_refs."""
+def scan(spark: SparkSession, root: str, params: Params = Params(), payload: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, refs) of a tree: path, mode, size, mtime_ns, digest; and path, chunk_no, offset, length, fp, payload."""
+    return parts_of(chunk_rows(spark, root, params, payload))
+
+
+def write_files(rows: DataFrame, out: str) -> None:
+    """Write files (path, content, mode, and mtime_ns if there) below `out`, a folder all executors share. Each is made under another
+    name and renamed into place, so a repeated task does no harm; a path that leaves `out` fails the job."""
+    timed = "mtime_ns" in rows.columns
+    checked = rows.select(F.when(valid_path(F.col("path")), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("malformed path: "), "path"))).alias("path"), "mode", "content", *["mtime_ns"] * timed)
+
+    def write(part):
+        for r in part:
+            target = os.path.join(out, r.path)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            tmp = f"{target}.{os.getpid()}.tmp"
+            with open(tmp, "wb") as f:
+                f.write(r.content)
+                f.flush()
+                os.fsync(f.fileno())
+            os.chmod(tmp, r.mode)
+            if timed:
+                os.utime(tmp, ns=(r.mtime_ns, r.mtime_ns))
+            os.replace(tmp, target)
+
+    checked.foreachPartition(write)
+
+
+def scan_stats(files: DataFrame, refs: DataFrame, root: str | None = None) -> DataFrame:
+    """One row: files, logical_bytes, chunk_refs, and how many entries of `root` were skipped (links, devices, unreadable folders)."""
     a = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("logical_bytes"))
-    return a.crossJoin(refs.agg(F.count("*").alias("chunk_refs")))
+    b = a.crossJoin(refs.agg(F.count("*").alias("chunk_refs")))  # one row each
+    return b.withColumn("skipped", F.lit(listed(root)[1] if root else None).cast("long"))

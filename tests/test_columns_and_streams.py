@@ -97,3 +97,11 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
         q = ingest_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / f"chk{k}")).trigger(availableNow=True).start()
         q.awaitTermination(90)
     assert store.totals().first().chunks == 20 and store.chunks().count() == 20
+
+
+def test_varints_as_expressions(spark):
+    from snapweave.functions.codecs import put_varint
+
+    values = [0, 1, 127, 128, 16383, 16384, *[(1 << (7 * n)) + d for n in range(3, 9) for d in (-1, 0, 1)], (1 << 63) - 1]
+    rows = spark.createDataFrame([(v,) for v in [*values, -1]], "v long").select("v", c.varint(F.col("v")).alias("b")).collect()
+    assert all(bytes(r.b) == put_varint(r.v) if r.v >= 0 else r.b is None for r in rows)

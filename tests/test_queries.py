@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from snapweave.plans import queries
+from snapweave.plans import queries, store_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()

@@ -137,8 +137,54 @@ def test_guards(spark, tmp_path):
 
 def test_dense_number_by_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), F.lit("x").alias("b"))
-    got = snapshot.dense_number(rows, ["a", "b"], "n", ranges=8, one_window=10).orderBy("a").collect()
-    assert [r.n for r in got] == list(range(5000))
+    for size in (10_000, 700, 40):
+        got = snapshot.dense_number(rows, ["a", "b"], "n", range_rows=size).orderBy("a").collect()
+        assert [r.n for r in got] == list(range(5000))
+    assert snapshot.dense_number(rows.limit(0), ["a", "b"], "n").count() == 0
+
+
+def test_batches_in_blocks_equal_one_walk(spark):
+    rnd = random.Random(11)
+    for most, limit in ((50, 100), (300, 100), (5, 1000), (1, 3)):
+        sizes = [rnd.randrange(1, most + 1) for _ in range(500)]
+        plan = spark.createDataFrame(list(enumerate(sizes)), "seq long, length int").repartition(3)
+        want = list(snapshot.greedy_batches([n + 1 + (n > 127) for n in sizes], limit))
+        for block in (1, 7, 64, 1000):
+            assert [r.batch for r in snapshot.pack_batches(plan, limit, block).orderBy("seq").collect()] == want, (most, limit, block)
+    assert snapshot.pack_batches(plan.limit(0)).count() == 0
+
+
+def test_union_and_deltas_of_runs(spark):
+    from snapweave.functions.codecs import runs_of
+
+    rnd = random.Random(12)
+    a, b = (sorted(rnd.sample(range(1000), n)) + list(range(1500, 1700, 2)) for n in (100, 400))
+    a += range(1900, 2100)
+    df = [spark.createDataFrame([(i,) for i in x], "idx long") for x in (a, b)]
+    runs = [snapshot.need_runs(d, block=16) for d in df]
+    got = snapshot.union_runs(*runs, block=16)
+    assert sorted(map(tuple, got.collect())) == runs_of(sorted({*a, *b}))
+    want = runs_of(sorted({*a, *b}))
+    deltas = sorted(map(tuple, snapshot.run_deltas(got, block=32).collect()))
+    assert deltas == [(s, e, s - (want[i - 1][1] + 1 if i else 0), e - s) for i, (s, e) in enumerate(want)]
+
+
+def test_torn_markers_are_none(spark, tree, tmp_path):
+    root, _ = tree
+    store = Store.open(spark, str(tmp_path / "store"))
+    (tmp_path / "store/commits/backup").mkdir(parents=True)
+    for torn in ("", '{"generation": 0, "dig', "[]", "{}"):
+        (tmp_path / "store/commits/backup/g0000000000.json").write_text(torn)
+        assert store.commits().count() == 0 and store.verify()["generations"] == 0
+    replicate(spark, str(root), store, "backup", 0)
+    assert store.commits().count() == 1 and store.verify(deep=True)["problems"] == 0
+    assert not os.listdir(tmp_path / "store/scans")
+
+
+def test_a_marker_is_created_once(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "store"))
+    assert store._create("commits/a/x.json", "1") and not store._create("commits/a/x.json", "2")
+    assert store._read("commits/a/x.json") == "1" and os.listdir(tmp_path / "store/commits/a") in (["x.json"], [".x.json.crc", "x.json"], ["x.json", ".x.json.crc"])
 
 
 def test_runs_across_blocks(spark):
