@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Bytes to words for `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z: letters and digits
 #: stay, every other ASCII byte becomes a blank, bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -40,21 +43,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, `spark.checkpoint.dir`.
-
-    Where that is unset (single-machine sessions, such as tests) it is set to a folder made for
-    this process; on a cluster without it the warehouse folder is used.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="shared-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on, and the next job's would come on top."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Shelf:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, bounded_batches, grouped, hashed_words, mix64, row_key, table, without, word_counts, word_edges
+from .common import Shelf, bounded_batches, give_back, grouped, hashed_words, mix64, row_key, table, without, word_counts, word_edges
 
 U = np.uint64
 PRINTS = ["h", "s", "doc", "key", "at", "n"]
@@ -175,6 +175,7 @@ def fingerprints(docs: DataFrame, k: int, w: int, line_words: int | None) -> Dat
             f, s, text, first, n = prints_of(batch.column(2).to_pylist(), k, w, line_words)
             cols = [f.view(np.int64), s.view(np.int64), *(batch.column(i).to_numpy()[text] for i in range(2)), first.astype(np.int32), n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=PRINTS)
+        give_back()
 
     return docs.select("__w_doc", "__w_key", F.col("text").cast("binary")).mapInArrow(scan, "h long, s long, doc long, key long, at int, n int")
 
@@ -198,6 +199,7 @@ def _windows(docs: DataFrame, asked: DataFrame, k: int, w: int) -> DataFrame:
             text = np.repeat(np.arange(len(out)), [len(x[1]) for x in out])
             cols = [np.concatenate([x[0] for x in out]), *(batch.column(i).to_numpy()[text] for i in range(2)), np.concatenate([x[1] for x in out])] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["g", "doc", "key", "at"])
+        give_back()
 
     return full.select("doc", "key", "text", "places").mapInArrow(cut, "g long, doc long, key long, at int")
 
@@ -299,6 +301,7 @@ def dedup_lines(docs: DataFrame, k: int = 26, w: int = 25, far: int | None = Non
             new = pa.array(texts, pa.binary()).cast(pa.string()) if any(gone) else batch.column(at)
             cols = [new if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_deleted"])
+        give_back()
 
     return full.mapInArrow(delete, T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_deleted", T.LongType())]))
 

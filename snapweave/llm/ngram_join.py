@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, bounded_batches, grouped, hashed_words, mix64, row_key, table, without
+from .common import Shelf, bounded_batches, give_back, grouped, hashed_words, mix64, row_key, table, without
 from .components import components
 
 U = np.uint64
@@ -158,6 +158,7 @@ def _scan(docs: DataFrame, n: int, frequent: int) -> DataFrame:
                         size = 0
             tally()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCAN_KINDS, strict=True)], names=SCAN_NAMES) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in SCAN_KINDS], names=SCAN_NAMES)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "key", F.col("text").cast("binary")).mapInArrow(scan, SCAN)
 
@@ -182,6 +183,7 @@ def _bucket_rows(docs: DataFrame, n: int, bands: Bands, hot: np.ndarray, level:
                     classes.append(np.full(len(own), cls, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["bucket", "cls"])
+        give_back()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(emit, "bucket long, cls long")
 
@@ -249,6 +251,7 @@ class Join:
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "linked"])
+            give_back()
 
         done = self.shelf.put(full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean"), f"{name}-verified")
         self.shelf.drop(f"{name}-texts", f"{name}-pairs")

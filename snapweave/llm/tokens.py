@@ -30,7 +30,7 @@ def unsafe(text: str) -> bool:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes; remembers between `limit` and twice as many words, the latest met."""
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -74,9 +74,9 @@ class Encoder:
         known, before = self.known, self.before
         parts, new = [], set(words).difference(known)
         if before:
-            again = new.intersection(before)
-            known.update((w, before[w]) for w in again)
-            new -= again
+            again = {w: before[w] for w in new if w in before}
+            known.update(again)
+            new.difference_update(again)
         for w in [*new]:
             base = w.rstrip(string.punctuation)
             if len(base) < len(w) and base and base[-1].lower().isalnum() and len(base[-1].lower()) == 1:
