@@ -19,6 +19,7 @@ from ..schema import FILES, EngineError
 from ..shared import mounted, shared_dir
 from ..sources import tree
 from . import faults
+from .campaign import campaign, shifted_boundaries
 from .job import replicate
 from .queries import _BASE, _CANON, _REFS, SIZE, _ladder, _needed, generation, query, refs, store_of, table
 from .store import Store
@@ -243,3 +244,15 @@ def shard_load(spark, sf):
     once = store_of(own).withColumn("shard", c.shard(F.col("fp"))).groupBy("shard").agg(F.count("*").alias("chunks"))
     all_ = own.groupBy("shard").agg(F.count("*").alias("refs"))
     return once.join(all_, "shard").select(F.lower(F.lpad(F.hex("shard"), 2, "0")).alias("shard"), "chunks", "refs")
+
+
+@query()
+def campaign_run(spark, sf):
+    """Eight generations of a synthetic corpus: what each holds and sends (no table; SQL cannot compress)."""
+    return campaign(spark)
+
+
+@query("SELECT 'content' AS cut, true AS kept_most, false AS lost_most UNION ALL SELECT 'size', false, true")
+def shift_control(spark, sf):
+    found = shifted_boundaries(spark)
+    return found.select("cut", (F.col("share") > 0.98).alias("kept_most"), (F.col("share") < 0.02).alias("lost_most"))
