@@ -276,26 +276,42 @@ class Join:
         """`rows` of buckets that still hold several components, with the component c of each."""
         known = rows.select("bucket", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
         known = self.shelf.put(known, f"{name}-labelled")
-        several = known.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc <> hc").select("bucket")
+        several = self.shelf.put(known.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc <> hc").select("bucket"), f"{name}-several")
         kept = self.shelf.put(known.join(several, "bucket"), f"{name}-open")
         self.shelf.drop(f"{name}-labelled")
         return kept
 
     def star(self, rows: DataFrame, turn: int) -> DataFrame:
         """Every class of a bucket with the bucket's centre of this turn, where their components differ."""
-        centre = rows.groupBy("bucket").agg(F.min_by(F.struct("cls", "c"), F.xxhash64("cls", F.lit(turn))).alias("m"))
+        centre = self.shelf.put(rows.groupBy("bucket").agg(F.min_by(F.struct("cls", "c"), F.xxhash64("cls", F.lit(turn))).alias("m")), f"centres{turn}")
         return rows.join(centre, "bucket").where(F.col("c") != F.col("m.c")).select(F.col("cls").alias("x"), F.col("m.cls").alias("y"))
 
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the sizes and sketches of their classes."""
+        return rows.join(self.classes.select("cls", F.col("size").cast("long").alias("size"), *SKETCH), "cls")
+
     def residual(self, rows: DataFrame) -> DataFrame:
-        """Pairs that share a bucket but no component: those outside a bucket's largest component against all."""
+        """Pairs that share a bucket but no component: those outside a bucket's largest component against all.
+
+        Both sides are plain tables, so that the join splits a hot bucket over tasks; sizes and sketches are compared in the join.
+        """
         sizes = rows.groupBy("bucket", "c").count()
         large = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("large"))
-        full = rows.join(self.classes.select("cls", F.col("size").cast("long").alias("size"), *SKETCH), "cls")
-        x = full.join(large, "bucket").where("c <> large").drop("large")
-        x = x.select(*[F.col(k).alias(f"x_{k}") for k in x.columns])
+        full = self.shelf.put(self.sketched(rows), "residual")
+        x = full.join(self.shelf.put(large, "largest"), "bucket").where("c <> large").drop("large")
+        x = self.shelf.put(x.select(*[F.col(k).alias(f"x_{k}") for k in x.columns]), "outside")
         joined = x.join(full, (F.col("x_bucket") == F.col("bucket")) & (F.col("x_c") != F.col("c")) & self.may_link("x_", ""))
         return joined.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct()
 
+    def links(self) -> DataFrame:
+        """(a, b) of all classes that link, a < b: every pair that shares a bucket and that sizes and sketches allow is verified."""
+        self.scan()
+        self.candidates()
+        full = self.shelf.put(self.sketched(self.members), "sketched")
+        x = full.select(*[F.col(k).alias(f"x_{k}") for k in full.columns])
+        pairs = x.join(full, (F.col("x_bucket") == F.col("bucket")) & (F.col("x_cls") < F.col("cls")) & self.may_link("x_", ""))
+        return self.verify(pairs.select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct(), "links").where("linked").select("a", "b")
+
     def run(self, turns: int = 3) -> DataFrame:
         self.scan()
         self.candidates()
@@ -329,6 +345,22 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot:
     return Join(docs, n, num, den, hot, slices).run()
 
 
+def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot: int = 20_000, slices: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The links themselves: (class_id, other, both ways) and a row per row of `docs`: doc_id, key, class_id, n_shingles, n_links.
+
+    Links are between classes, the distinct sets, each by a 64-bit hash; copies are told by membership. n_links is the number of other
+    classes that a row's class links to (null without words). As many rows come out as there are links, so in a large
+    group of texts that are all alike but not equal they grow with its square; `ngram_join` finds components without them.
+    """
+    join = Join(docs, n, num, den, hot, slices)
+    found = join.links()
+    both = join.shelf.put(found.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("class_id"), F.col("a").alias("other"))), "both")
+    counts = both.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    rows = join.rows.select("doc_id", "key", F.col("cls").alias("class_id"), F.col("size").cast("long").alias("n_shingles")).join(counts, "class_id", "left")
+    n_links = F.when(F.col("class_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return both, rows.select("doc_id", "key", "class_id", "n_shingles", n_links.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each component of `docs` the row of the smallest (doc_id, key) only, with all its columns.
 

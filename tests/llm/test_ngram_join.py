@@ -93,3 +93,21 @@ def test_pigeonhole_never_misses(num):
         assert len(np.intersect1d(*keys)) > 0
         differ = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(nj.sketch(a).view(np.uint64), nj.sketch(b).view(np.uint64), strict=True))
         assert differ <= len(a) + len(b) - 2 * both
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_links_equal_brute_force(docs, n, num):
+    rows = families(n + 20, 12, 15) + [(9000, None), (9001, "")]
+    links, members = nj.ngram_links(docs(rows), n=n, num=num)
+    class_of = {r.doc_id: r for r in members.collect()}
+    sets = {class_of[d].class_id: shingles(t, n) for d, t in rows if shingles(t, n)}
+    want = {(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    assert len(want) > 20 and {(r.class_id, r.other) for r in links.collect()} == want
+    for d, t in rows:
+        r = class_of[d]
+        assert r.n_shingles == len(shingles(t, n)) and r.n_links == (sum(a == r.class_id for a, _ in want) if shingles(t, n) else None)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (3, None, 7, 8, 9)], "doc_id long, text string, _key int, KEY int, cls int")
+    assert sorted(map(tuple, nj.keep_one(df).collect()), key=repr) == [(1, "a b c d e f", 1, 2, 3), (3, None, 7, 8, 9)]

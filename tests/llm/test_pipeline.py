@@ -44,3 +44,38 @@ def test_stages_catch_planted_rows_and_keep_clean_ones(spark, tmp_path):
     assert 1004 in kept["ngram_join"] and 1004 not in kept["decontaminate"] and 1006 in kept["decontaminate"]
     got = cp.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == set(kept["decontaminate"])
+
+
+def odd_tables(spark, path, rows):
+    """Tables whose documents have null ids and texts, repeated rows, and columns named like what operators add."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, Toxicity string, n_words int, N_HIT int, _key int, `odd.name` string"
+    spark.createDataFrame([(k, t, "en", "s", len(t or ""), "own", 1, 2, 3, "x") for k, t in rows], kind).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k, _ in rows if k is not None] + [(None, 1), (1, None)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_odd_rows_and_clashing_names_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    from .conftest import ODD
+
+    odd_tables(spark, str(tmp_path), ODD)
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = d.columns
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == columns, name
+        d.write.parquet(f"{tmp_path}/out{k}")
+        d = spark.read.parquet(f"{tmp_path}/out{k}")
+        rows = d.collect()
+        assert all((r.Toxicity, r.n_words, r.N_HIT, r._key, r["odd.name"]) == ("own", 1, 2, 3, "x") for r in rows), name
+        assert {None, 1, 2, 3} <= {r.doc_id for r in rows}
+    assert sorted(r.text for r in rows if r.doc_id == 4) == ["another text", "twice"]
+    assert cp.run(spark, str(tmp_path)).count() >= len(rows)
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    odd_tables(spark, str(tmp_path), [])
+    assert cp.run(spark, str(tmp_path)).count() == 0
