@@ -14,6 +14,7 @@ are single plans over all generations, whose attempts are partitions of two tabl
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from ..functions import columns as c
 from ..operators import snapshot
 from ..operators.chunking import Params
 from ..schema import CHUNK_REFS, DETAIL_LIMIT, FILES, MAX_CHUNK, STORE_VERSION, EngineError
-from ..sources.tree import write_files
+from ..sources.tree import write_in_order
 from . import faults
 
 CHUNKS = "fp binary, length int, payload binary, shard int"
@@ -254,13 +255,25 @@ class Store:
         return {"chunks": self.totals().first().chunks, "generations": self.commits().count(), "problems": found.count(), "detail": [tuple(r) for r in found.orderBy("problem", "detail").limit(DETAIL_LIMIT).collect()]}
 
     def materialize(self, dataset: str, generation: int, out: str) -> int:
-        """Write a generation's files below `out` (a folder all executors share): how many. Each is checked, then renamed into place."""
+        """Write a generation's files below `out` (a folder all executors share): how many.
+
+        A file is written chunk by chunk in order, whatever its size, hashed on the way, and renamed into place only if its digest is right.
+        """
         files, refs = self.manifest(dataset, generation)
-        whole = snapshot.assemble(refs, self.chunks().join(refs.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]))
-        rows = files.join(whole, "path", "left").select("path", "mode", "digest", F.coalesce("content", F.lit(b"")).alias("content"), F.coalesce("missing", F.lit(0)).alias("missing"))
-        checked = rows.withColumn("bad", F.when(F.col("missing") > 0, "not-found").when(~c.valid_path(F.col("path")), "malformed").when(c.fingerprint(F.col("content")) != F.col("digest"), "corrupt"))
-        first = checked.where("bad IS NOT NULL").select("bad", "path").limit(1).collect()
-        if first:
-            raise EngineError(first[0].bad, first[0].path)
-        write_files(checked.select("path", "mode", "content"), out)
+        bad = files.where(~c.valid_path(F.col("path"))).select("path").limit(1).collect()
+        if bad:
+            raise EngineError("malformed", bad[0].path)
+        if lost := refs.join(self.fingerprints(), "fp", "left_anti").select("path").limit(1).collect():
+            raise EngineError("not-found", lost[0].path)
+        payload = self.chunks().join(refs.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "payload")
+        parts = refs.select("path", "chunk_no", "fp").join(payload, "fp").select("path", "chunk_no", "payload")
+        heads = files.select("path", F.lit(-1).alias("chunk_no"), F.lit(None).cast("binary").alias("payload"), "mode", "size", "digest")
+        rows = parts.select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("mode", "int"), ("size", "long"), ("digest", "binary")))).unionByName(heads)
+        rows = rows.repartition("path").sortWithinPartitions("path", "chunk_no")  # a file's head, then its chunks
+        try:
+            rows.foreachPartition(lambda part: write_in_order(part, out))
+        except Exception as e:  # noqa: BLE001 - a task's error comes back as text
+            if found := re.search(r"EngineError: ([a-z-]+): (.*)", str(e)):
+                raise EngineError(found[1], found[2]) from None
+            raise
         return files.count()

@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import valid_path
 from ..operators.chunking import Params, cuts
+from ..schema import EngineError
 
 FILE_COLUMNS = "path string, mode int, size long, mtime_ns long, content binary"
 CHUNK_COLUMNS = "path string, mode int, size long, mtime_ns long, digest binary, chunk_no int, offset long, length int, fp binary, payload binary"
@@ -183,6 +184,29 @@ def write_files(rows: DataFrame, out: str) -> None:
     checked.foreachPartition(write)
 
 
+def write_in_order(rows, out: str) -> None:
+    """Rows (path, chunk_no, payload, mode, size, digest) in order, each file's head (chunk_no -1, with its mode, size and digest) before its
+    chunks: files below `out`, made under another name and renamed into place when size and digest are right."""
+    from itertools import groupby
+
+    for path, own in groupby(rows, key=lambda r: r.path):
+        head, target, size, seen = next(own), os.path.join(out, path), 0, hashlib.sha256()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        tmp = f"{target}.{os.getpid()}.tmp"
+        with open(tmp, "wb") as f:
+            for r in own:
+                f.write(r.payload)
+                seen.update(r.payload)
+                size += len(r.payload)
+            f.flush()
+            os.fsync(f.fileno())
+        if size != head.size or seen.digest() != bytes(head.digest):
+            os.remove(tmp)
+            raise EngineError("corrupt", path)
+        os.chmod(tmp, head.mode)
+        os.replace(tmp, target)
+
+
 def scan_stats(files: DataFrame, refs: DataFrame, root: str | None = None) -> DataFrame:
     """One row: files, logical_bytes, chunk_refs, and how many entries of `root` were skipped (links, devices, unreadable folders)."""
     a = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("logical_bytes"))

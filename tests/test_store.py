@@ -200,3 +200,18 @@ def test_runs_across_blocks(spark):
         assert sorted(r.idx for r in snapshot.expand_runs(runs, most=7).collect()) == indices
         asked = spark.range(2300).withColumnRenamed("id", "idx")
         assert sorted(r.idx for r in snapshot.in_runs(asked, runs, block=32).collect()) == indices
+
+
+def test_a_corrupt_chunk_is_not_written(spark, tree, tmp_path):
+    root, _ = tree
+    store = Store.open(spark, str(tmp_path / "store"))
+    replicate(spark, str(root), store, "backup", 0)
+    rows = store.chunks().collect()
+    big = max(rows, key=lambda r: r.length)
+    spark.createDataFrame([(bytes(r.fp), r.length, b"!" * r.length if r is big else bytes(r.payload), r.shard) for r in rows], "fp binary, length int, payload binary, shard int").write.partitionBy("shard").parquet(str(tmp_path / "other/chunks"))
+    store.remove("chunks")
+    os.rename(tmp_path / "other/chunks", tmp_path / "store/chunks")
+    with pytest.raises(EngineError) as e:
+        store.materialize("backup", 0, str(tmp_path / "out"))
+    assert e.value.code == "corrupt" and not any(p.endswith(".tmp") or p == e.value.detail for p, _ in listed(str(tmp_path / "out"))[0])
+    assert "corrupt chunk" in [x[0] for x in store.verify(deep=True)["detail"]]
