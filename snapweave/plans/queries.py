@@ -137,7 +137,36 @@ def cdc_chunks_tile(spark, sf):
     return ends.join(d.select("path", F.sha2("content", 256).alias("digest")), "path").select(F.col("path").cast("long").alias("doc_id"), "bytes", "digest", "tiles")
 
 
-@query()
+def _cdc_sql() -> str:
+    """Content-defined chunks in SQL: the rolling hash of every byte by doubling, then chunk after chunk the first byte that a mask accepts.
+
+    The hash from a chunk's first tested byte on is the hash over all bytes less what stood before that byte, shifted as far as it has come.
+    """
+    p, two64 = chunking.Params(), 1 << 64
+    low, avg, high = p.low, p.avg, p.high
+    times = lambda a, c_: f"(({a})::UHUGEINT * {c_} % {two64})::UBIGINT"
+    doubled = [
+        f"f{2 * w} AS (SELECT path, pos, ((f::UHUGEINT + (lag(f, {w}, 0::UBIGINT) OVER (PARTITION BY path ORDER BY pos))::UHUGEINT * {1 << w}) % {two64})::UBIGINT AS f FROM f{w})"
+        for w in (1, 2, 4, 8, 16, 32)
+    ]
+    return f"""WITH RECURSIVE {_BASE},
+gx AS (SELECT k, {times("k + 2", chunking.SEED)} AS x FROM (SELECT unnest(range(256)) AS k)),
+gy AS (SELECT k, {times("xor(x, x >> 30)", 0xBF58476D1CE4E5B9)} AS x FROM gx), gz AS (SELECT k, {times("xor(x, x >> 27)", 0x94D049BB133111EB)} AS x FROM gy),
+gear AS (SELECT list(xor(x, x >> 31) ORDER BY k) AS t FROM gz),
+f1 AS (SELECT path, unnest(range(len(v))) AS pos, unnest(v) AS f FROM (SELECT path, list_transform(range(1, octet_length(content) + 1), lambda i: t[('0x' || substr(h, 2 * i - 1, 2))::INT + 1]) AS v
+  FROM (SELECT path, content, hex(content) AS h FROM g0 WHERE octet_length(content) > {low}), gear)),
+{", ".join(doubled)},
+c AS (SELECT path, octet_length(content)::BIGINT AS n, -1 AS chunk_no, 0::BIGINT AS s, 0::BIGINT AS e FROM g0
+  UNION ALL SELECT c.path, c.n, c.chunk_no + 1, c.e, coalesce(min(p.pos) + 1, least(c.e + {high}, c.n))
+  FROM c LEFT JOIN f64 q ON q.path = c.path AND q.pos = c.e + {low} - 1 AND c.n - c.e > {low}
+  LEFT JOIN f64 p ON p.path = c.path AND p.pos >= c.e + {low} AND p.pos < least(c.e + {high}, c.n) AND q.path IS NOT NULL
+    AND ((p.f::UHUGEINT + {two64} - CASE WHEN p.pos - c.e - {low} < 63 THEN (q.f::UHUGEINT << (p.pos - c.e - {low} + 1)::UHUGEINT) % {two64} ELSE 0 END) % {two64})::UBIGINT
+      & CASE WHEN p.pos < least(c.e + {avg}, c.n) THEN {chunking.STRICT}::UBIGINT ELSE {chunking.LOOSE}::UBIGINT END = 0
+  WHERE c.e < c.n GROUP BY c.path, c.n, c.chunk_no, c.e)
+SELECT c.path, c.chunk_no::INT AS chunk_no, c.s AS "offset", (c.e - c.s)::INT AS length, sha256(array_slice(g0.content, c.s + 1, c.e)) AS fp FROM c JOIN g0 ON g0.path = c.path WHERE c.chunk_no >= 0"""
+
+
+@query(_cdc_sql())
 def cdc_chunks(spark, sf):
     return chunking.cdc_chunks(generation(spark, sf, 0)).withColumn("fp", c.to_hex(F.col("fp")))
 
