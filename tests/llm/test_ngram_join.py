@@ -97,7 +97,7 @@ def test_pigeonhole_never_misses(num):
 
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
 def test_links_equal_brute_force(docs, n, num):
-    rows = families(n + 20, 12, 15) + [(9000, None), (9001, "")]
+    rows = families(n, 25, 40) + [(9000, None), (9001, "")]
     links, members = nj.ngram_links(docs(rows), n=n, num=num)
     class_of = {r.doc_id: r for r in members.collect()}
     sets = {class_of[d].class_id: shingles(t, n) for d, t in rows if shingles(t, n)}
