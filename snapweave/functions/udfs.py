@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..schema import EngineError
-from .codecs import Frame, crc32c, decode_frame, decode_manifest, decode_need, encode_frame, encode_need, get_varint, lz_compress, lz_decompress, put_varint
+from .codecs import Frame, crc32c_many, decode_frame, decode_manifest, decode_need, encode_frame, encode_need, get_varint, lz_compress, lz_decompress, put_varint
 
 
 def column(kind: str):
@@ -29,7 +29,10 @@ def column(kind: str):
 
 @column("long")
 def crc32c_col(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else crc32c(x)).astype("Int64")
+    some = data.notna()
+    out = pd.Series(pd.NA, index=data.index, dtype="Int64")
+    out[some] = crc32c_many(data[some].tolist())
+    return out
 
 
 @column("binary")

@@ -12,6 +12,7 @@ import os
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.codecs import RECORD_MAGIC, decode_commits, decode_record
+from ..schema import EngineError
 
 MAGIC = RECORD_MAGIC.to_bytes(4, "little")
 
@@ -35,6 +36,14 @@ def parse_container(data: bytes):
         at = nxt
 
 
+def read_whole(path: str, most: int = 1 << 30) -> bytes:
+    """A file of at most `most` bytes; a larger one is refused before it is read."""
+    with open(path, "rb") as f:
+        if os.fstat(f.fileno()).st_size > most:
+            raise EngineError("too-large", path)
+        return f.read()
+
+
 class File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -43,6 +52,7 @@ class File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options, pattern: str, rows):
         self.root, self.pattern, self.rows = options["path"], pattern, rows
+        self.most = int(options.get("maxbytes", 1 << 30))  # a container is closed at 128 MiB
 
     def partitions(self):
         found = [self.root] if os.path.isfile(self.root) else sorted(glob.glob(os.path.join(self.root, self.pattern)))
@@ -51,9 +61,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: File):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            data = f.read()  # a container is at most 128 MiB
-        for row in self.rows(data):
+        for row in self.rows(read_whole(partition.path, self.most)):
             yield (os.path.basename(partition.path), *row)
 
 
