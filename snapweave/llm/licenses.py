@@ -143,3 +143,34 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
         named(base).alias("base_labels"), named("license_hits").alias("labels"),
         F.coalesce(F.array_max(F.transform("license_hits", lambda h: h["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _oracle(templates: tuple[Template, ...] = BASE + NOTICES, base: int = len(BASE)) -> str:
+    """The same in DuckDB SQL: each template's rarest words over all documents, votes of words for a start, key phrases that must stand there."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({t}, {text(x.label)}, {x.rare}, {x.share}, {text(x.text)})" for t, x in enumerate(templates))
+    keys = ", ".join(f"({t}, {i}, {len(w)}, {text(' '.join(w))})" for t, x in enumerate(templates) for i, w in x.key_places())
+    return f"""
+WITH t(t, label, rare, share, words) AS (VALUES {rows}), k(t, i, n, phrase) AS (VALUES {keys}),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT t, unnest(string_split(words, ' ')) AS word, unnest(range(len(string_split(words, ' ')))) AS place FROM t),
+x AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d WHERE len(w) > 0),
+m AS (SELECT r, word, pos FROM x WHERE word IN (SELECT word FROM p)),
+c AS (SELECT word, count(DISTINCT r) AS n FROM m GROUP BY word),
+o AS (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS k FROM (SELECT DISTINCT t, word FROM p) LEFT JOIN c USING (word)),
+g AS (SELECT t, word FROM o JOIN t USING (t) WHERE k <= rare),
+s AS (SELECT t, count(*) AS total, greatest(1, ceil(any_value(share) * count(*))) AS need FROM g JOIN t USING (t) GROUP BY t),
+v AS (SELECT r, t, m.pos - p.place AS start, count(*) AS votes FROM m JOIN g USING (word) JOIN p USING (t, word) GROUP BY ALL),
+h AS (
+  SELECT v.r, v.t, start, least(1.0::DOUBLE, votes::DOUBLE / total) AS share FROM v JOIN s USING (t) JOIN d USING (r) JOIN k USING (t)
+  WHERE votes >= need GROUP BY v.r, v.t, start, votes, total
+  HAVING bool_and(start + k.i >= 0 AND array_to_string(w[start + k.i + 1 : start + k.i + k.n], ' ') = phrase)),
+a AS (
+  SELECT r, count(*) FILTER (WHERE t < {base}) AS n_base, min(start) FILTER (WHERE t < {base}) AS first_word, max(start) FILTER (WHERE t < {base}) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE t < {base}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(h.share) AS score FROM h JOIN t USING (t) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+ORACLE = _oracle()

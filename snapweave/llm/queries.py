@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_exact_top_k": topk.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
 }

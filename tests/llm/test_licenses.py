@@ -57,3 +57,20 @@ def test_clashing_names(spark):
     r = L.scan_licenses(df).first()
     assert list(r.asDict()) == ["text", "_words", "_votes", "n_words", "license_hits"] and (r._words, r._votes, r.n_words) == (1, 2, 2)
     assert [h.label for h in r.license_hits] == ["mit"]
+
+
+def test_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(5)
+    pool = sorted({w for t in L.BASE + L.NOTICES for w in t.words}) + ["noise"] * 20
+    rows = [(k, " ".join(rnd.choices(pool, k=rnd.randrange(40)))) for k in range(300)]
+    for k, t in enumerate(L.BASE + L.NOTICES):
+        w = t.words
+        w[rnd.randrange(len(w))] = rnd.choice([w[0], "other"])
+        rows += [(1000 + k, f"noise {t.text.upper()}, noise; {t.text}"), (2000 + k, " ".join(w))]
+    rows += [(3000, None), (3001, ""), (1, "mit license"), (1, "mit license"), (None, "cc-by")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(repr, (tuple(r) for r in L.op3_license_scan(spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, duckdb.execute(L.ORACLE).fetchall()))
