@@ -212,7 +212,7 @@ class Join:
     def candidates(self) -> None:
         """`members`: rows (bucket, cls) of the buckets with more than one class; `texts`: a text for each of their classes.
 
-        Buckets are met in slices of their hashes one after the other, so what is shuffled at a time is a share of all rows.
+        Buckets are met in slices of their hashes one after the other, and so are texts, so what is shuffled at a time is a share of all.
         """
         rows = _bucket_rows(self.docs, self.n, Bands(self.num, self.den), self.hot_tokens, self.hot_level)
         rows = self.shelf.put(rows, "buckets")
@@ -226,10 +226,14 @@ class Join:
             self.members = part if self.members is None else self.members.unionByName(part)
             self.shelf.settle()
         self.shelf.drop("buckets")
-        keys = self.members.select("cls").distinct().join(self.classes.select("cls", "key"), "cls")
-        texts = self.docs.select("key", F.col("text").cast("binary").alias("text")).join(keys, "key").dropDuplicates(["cls"])
-        self.texts = self.shelf.put(texts.select("cls", "text"), "texts")
-        self.shelf.settle()
+        keys = self.shelf.put(self.members.select("cls").distinct().join(self.classes.select("cls", "key"), "cls"), "keys")
+        self.texts = None
+        for j in range(self.slices):
+            part = F.pmod("key", F.lit(self.slices)) == j
+            texts = self.docs.where(part).select("key", F.col("text").cast("binary").alias("text")).join(keys.where(part), "key").dropDuplicates(["cls"])
+            texts = self.shelf.put(texts.select("cls", "text"), f"texts{j}")
+            self.texts = texts if self.texts is None else self.texts.unionByName(texts)
+            self.shelf.settle()
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """`pairs` (a, b) by their n-grams: (a, b, linked)."""
