@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
@@ -89,13 +89,15 @@ def row_key(*cols) -> F.col:
     return F.xxhash64(*cols)
 
 
-def hashed_share(rows: DataFrame, sample: int, *cols: str) -> DataFrame:
-    """Between `sample` and twice as many of the rows, about (all, if fewer): those whose hash of `cols` falls into a share.
+def hashed_share(rows: DataFrame, sample: int, *cols: str, only: Column | None = None) -> DataFrame:
+    """Between `sample` and twice as many of the rows, about (all, if fewer): those whose hash of `cols` falls into a share, and of them
+    those that `only` holds for.
 
     Of rows that agree in `cols` one is taken, so however often one repeats there are no more of them; where rows
     repeat, there may be fewer than `sample`. Unlike an ordered limit, tasks send no more than what is kept.
     """
-    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(max(1, rows.count() // sample))) == 0).dropDuplicates([*cols])
+    some = rows.where(F.pmod(F.xxhash64(*cols), F.lit(max(1, rows.count() // sample))) == 0)
+    return (some if only is None else some.where(only)).dropDuplicates([*cols])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

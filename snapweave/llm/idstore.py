@@ -9,7 +9,7 @@ A store is a folder: `dictionary` (raw zstandard dictionary, may be empty) and `
 
 (all little-endian), so one short document is read by two small reads, without its neighbours.
 
-Scale: documents are range-partitioned and sorted by (doc_id, text's hash, row), so ids or whole rows repeated in a third
+Scale: documents are range-partitioned and sorted by (doc_id, place in the table), so ids or whole rows repeated in a third
 of the rows still spread; a task streams its documents into files of about `file_bytes`. Files are
 named by task attempt; the manifest of the attempts that succeeded says which files count, so lost or
 repeated tasks leave at worst unused files. The dictionary's sample is about `sample` documents.
@@ -64,13 +64,12 @@ class Writer:
     """One file: frames as they come, the index at the end."""
 
     def __init__(self, store, path: str, width: int, digest: bytes, press):
-        self.path, self.width, self.press, self.out = path, width, press, store.open_output_stream(path)
+        self.path, self.kind, self.press, self.out = path, np.dtype(f"<u{width}"), press, store.open_output_stream(path)
         self.at, self.tokens, self.offsets, self.docs, self.nulls, self.counts = HEAD.size, 0, [HEAD.size], [], [], []
         self.out.write(HEAD.pack(MAGIC, width, digest))
 
     def add(self, doc: int | None, ids: bytes) -> None:
-        raw = np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
-        frame = self.press.compress(raw)
+        frame = self.press.compress(np.frombuffer(ids, "<u4").astype(self.kind).tobytes())
         self.out.write(frame)
         self.at += len(frame)
         self.offsets.append(self.at)
@@ -131,15 +130,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
     """Encode `docs` (`doc_id`, `text`), each followed by `end_id`, into a new store; returns its manifest.
 
     Documents ascend by doc_id over the files in order of (part, seq), nulls first; rows with one id are
-    in order of their text's hash. A null or empty text holds the end id alone. Without documents there are
+    in the table's order. A null or empty text holds the end id alone. Without documents there are
     no files. The dictionary is trained on about `sample` documents of up to `sample_bytes` bytes, chosen by a
     hash of the row; nothing else depends on the sample.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    small = docs.where(F.octet_length("text") <= sample_bytes)
-    picked = hashed_share(small, sample, "doc_id", "text").collect()
+    picked = hashed_share(docs, sample, "doc_id", "text", only=F.octet_length("text") <= sample_bytes).collect()
     enc = encoder(tokenizer_file(tokenizer))
     width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     dictionary = train([np.frombuffer(enc.encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in picked], dictionary_bytes)
@@ -169,9 +167,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    # the row's number comes last, so rows that agree in everything are dealt out too
-    hashed = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ranged = hashed.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
+    # with the row's number, rows that agree in id, or in everything, are dealt out too; bounds come from a scan of ids alone
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     return Shelf(spark).put(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
