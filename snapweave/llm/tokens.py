@@ -21,6 +21,8 @@ import numpy as np
 _RUNS = ("  ", "\n\n", " \n", "\n ", "<|", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+PUNCTUATION = frozenset(string.punctuation)
+
 
 def unsafe(text: str) -> bool:
     """Whether a non-empty text must be encoded whole. Plain searches: a regex would cost more than the ids."""
@@ -58,7 +60,7 @@ class Encoder:
     def many(self, words: list[str]) -> list[bytes]:
         """The ids of words without blanks but one in front, as one text cut at a mark that none of them holds."""
         mark, own = self.mark
-        if len(own) != 4 or any(mark.strip(" ") in w for w in words):
+        if len(own) != 4 or mark.strip(" ") in "".join(words):
             return self.whole(words)
         ids = np.array(self.tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == np.frombuffer(own, "<u4")[0])
@@ -77,7 +79,7 @@ class Encoder:
             again = {w: before[w] for w in new if w in before}
             known.update(again)
             new.difference_update(again)
-        for w in [*new]:
+        for w in [w for w in new if w[-1:] in PUNCTUATION]:
             base = w.rstrip(string.punctuation)
             if len(base) < len(w) and base and base[-1].lower().isalnum() and len(base[-1].lower()) == 1:
                 parts.append((w, base, w[len(base) :]))
