@@ -226,11 +226,12 @@ class Join:
             self.members = part if self.members is None else self.members.unionByName(part)
             self.shelf.settle()
         self.shelf.drop("buckets")
+        # merged at every size, so that small tables show what large ones take
         keys = self.shelf.put(self.members.select("cls").distinct().join(self.classes.select("cls", "key"), "cls"), "keys")
         self.texts = None
         for j in range(self.slices):
             part = F.pmod("key", F.lit(self.slices)) == j
-            texts = self.docs.where(part).select("key", F.col("text").cast("binary").alias("text")).join(keys.where(part), "key").dropDuplicates(["cls"])
+            texts = self.docs.where(part).select("key", F.col("text").cast("binary").alias("text")).join(keys.where(part).hint("merge"), "key").dropDuplicates(["cls"])
             texts = self.shelf.put(texts.select("cls", "text"), f"texts{j}")
             self.texts = texts if self.texts is None else self.texts.unionByName(texts)
             self.shelf.settle()
@@ -239,7 +240,7 @@ class Join:
         """`pairs` (a, b) by their n-grams: (a, b, linked)."""
         pairs = self.shelf.put(pairs, f"{name}-pairs")
         needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        texts = self.shelf.put(self.texts.join(needed, "cls", "left_semi"), f"{name}-texts")
+        texts = self.shelf.put(self.texts.join(needed.hint("merge"), "cls", "left_semi"), f"{name}-texts")
         full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
         n, num, den = self.n, self.num, self.den
 
